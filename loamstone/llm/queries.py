@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.llm import conversations, defects
+from loamstone.llm import conversations, defects, markup, split
 from loamstone.session import table
 
 
@@ -20,6 +20,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.defective_answers(table(spark, sf_dir, "messages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.marked_up(table(spark, sf_dir, "messages")).select("message_id")
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_messages(table(spark, sf_dir, "messages"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_oversized(table(spark, sf_dir, "chunks")).filter("piece = 0").select("chunk_id", "cut")
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_oversized(table(spark, sf_dir, "chunks"))
+
+
+_SQL_P7 = """SELECT DISTINCT chunk_id, CASE WHEN list_max(list_transform(string_split(content, chr(10)), x -> length(x))) > 2048 THEN 'inner' ELSE 'line' END AS cut
+    FROM chunks WHERE length(content) > 2048"""
 _SQL_P2 = r"""
 WITH m AS (SELECT DISTINCT * FROM messages WHERE conversation_id IS NOT NULL),
 n AS (SELECT conversation_id, id, created_at, content,
@@ -31,8 +49,9 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
 ORACLE = {
+    "p7_found": _SQL_P7,
     "p2_found": _SQL_P2
     + """, ids AS (SELECT conversation_id FROM m UNION SELECT id FROM conversations WHERE id IS NOT NULL)
 SELECT conversation_id FROM ids WHERE conversation_id NOT IN (SELECT conversation_id FROM good)""",
