@@ -36,7 +36,7 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "chunks"))
 
 
-_SQL_P7 = """SELECT DISTINCT chunk_id, CASE WHEN list_max(list_transform(string_split(content, chr(10)), x -> length(x))) > 2048 THEN 'inner' ELSE 'line' END AS cut
+_SQL_P7 = """SELECT DISTINCT chunk_id, CASE WHEN list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > 2048 THEN 'inner' ELSE 'line' END AS cut
     FROM chunks WHERE length(content) > 2048"""
 _SQL_P2 = r"""
 WITH m AS (SELECT DISTINCT * FROM messages WHERE conversation_id IS NOT NULL),
