@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.llm import conversations, defects, markup, split
+from loamstone.llm import conversations, defects, markup, secrets, split
 from loamstone.session import table
 
 
@@ -28,6 +28,14 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_messages(table(spark, sf_dir, "messages"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.credential_lines(table(spark, sf_dir, "chunks"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, sf_dir, "chunks"), with_text=True)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "chunks")).filter("piece = 0").select("chunk_id", "cut")
 
@@ -49,7 +57,7 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces}
 ORACLE = {
     "p7_found": _SQL_P7,
     "p2_found": _SQL_P2
