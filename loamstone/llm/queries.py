@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.llm import conversations, defects, markup, secrets, split
+from loamstone.llm import conversations, defects, handwritten, markup, secrets, split
 from loamstone.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.file_reasons(table(spark, sf_dir, "chunks")).select("repo_id", "file_path")
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.file_reasons(table(spark, sf_dir, "chunks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.dropped_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
 
@@ -57,7 +65,7 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces}
 ORACLE = {
     "p7_found": _SQL_P7,
     "p2_found": _SQL_P2
