@@ -197,7 +197,8 @@ class SuffixAutomaton:
 
 
 FOUND = "doc_id long, item_id long, longest int, in_order int, item_words int, start_pos int, end_pos int"
-_AUTOMATA: dict[int, SuffixAutomaton] = {}
+#: The automaton of the block that this worker was sent last, by the list it came as.
+_LATEST: list = []
 
 
 def _positions(text: str, number: dict[str, int]) -> list[tuple[int, int]]:
@@ -216,9 +217,9 @@ def _positions(text: str, number: dict[str, int]) -> list[tuple[int, int]]:
 
 def _search(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _AUTOMATA.get(sent.id)
-        if automaton is None:
-            automaton = _AUTOMATA[sent.id] = SuffixAutomaton(sent.value)
+        if not _LATEST or _LATEST[0] is not sent.value:
+            _LATEST[:] = sent.value, SuffixAutomaton(sent.value)
+        automaton = _LATEST[1]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
