@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.llm import conversations, defects, handwritten, leaks, markup, secrets, split
+from loamstone.llm import conversations, defects, handwritten, leaks, markup, personal, secrets, split
 from loamstone.session import table
 
 
@@ -60,6 +60,16 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of a query is no secret; a job is given its own."""
+    found = personal.personal_information(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), key=b"query")
+    return found.select("doc_id", "kinds", "clean")
+
+
 _SQL_P7 = """SELECT DISTINCT chunk_id, CASE WHEN list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > 2048 THEN 'inner' ELSE 'line' END AS cut
     FROM chunks WHERE length(content) > 2048"""
 _SQL_P2 = r"""
@@ -73,7 +83,7 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE = {
     "p7_found": _SQL_P7,
     "p2_found": _SQL_P2
