@@ -23,12 +23,12 @@ def _queries(v: DataFrame) -> DataFrame:
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return topk_expr(_queries(v), v, 10).select("qid", "vec_id", F.round("dist", 6).alias("dist"))
+    return topk_expr(_queries(v), v, 10).select("qid", "vec_id", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return topk_expr(_queries(v), v.filter(F.col("label") == 2), 10).select("qid", "vec_id", F.round("dist", 6).alias("dist"))
+    return topk_expr(_queries(v), v.filter(F.col("label") == 2), 10).select("qid", "vec_id", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _top(where: str, value: str) -> str:
 
 QUERIES = {"vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "relevance_score": relevance_score}
 ORACLE = {
-    "vector_topk": _top("", "round(dist, 6) AS dist"),
-    "vector_topk_filtered": _top("AND v.label = 2", "round(dist, 6) AS dist"),
+    "vector_topk": _top("", "round(dist, 6) + 0.0 AS dist"),
+    "vector_topk_filtered": _top("AND v.label = 2", "round(dist, 6) + 0.0 AS dist"),
     "relevance_score": _top("", "round(greatest(0.0, 1 - dist), 4) AS relevance"),
 }
