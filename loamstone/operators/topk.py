@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +54,10 @@ def topk_expr(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows with a vector of length dim: their positions and the matrix of unit rows."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
     rows = np.flatnonzero(lengths == dim)
     taken = column.take(pa.array(rows))
-    flat = np.asarray(pa.compute.cast(taken.flatten(), pa.float64()).fill_null(np.nan), dtype=float).reshape(-1, dim)
+    flat = np.asarray(pc.cast(taken.flatten(), pa.float64()).fill_null(np.nan), dtype=float).reshape(-1, dim)
     norms = np.sqrt((flat * flat).sum(axis=1))
     fine = np.isfinite(norms) & (norms > 0)
     return rows[fine], flat[fine] / norms[fine, None]

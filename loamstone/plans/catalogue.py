@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamstone.plans import chat, ingest, search, shredding
+from loamstone.plans import chat, ingest, reading, search, shredding
 
-_MODULES = (search, ingest, chat, shredding)
+_MODULES = (search, ingest, chat, reading, shredding)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in _MODULES for name, q in m.ORACLE.items()}

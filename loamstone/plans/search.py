@@ -44,6 +44,7 @@ def _top(where: str, value: str) -> str:
 
 QUERIES = {"vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "relevance_score": relevance_score}
 ORACLE = {
+    "vector_topk_matrix": _top("", "round(dist, 6) + 0.0 AS dist"),
     "vector_topk": _top("", "round(dist, 6) + 0.0 AS dist"),
     "vector_topk_filtered": _top("AND v.label = 2", "round(dist, 6) + 0.0 AS dist"),
     "relevance_score": _top("", "round(greatest(0.0, 1 - dist), 4) AS relevance"),
