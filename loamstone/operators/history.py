@@ -15,11 +15,11 @@ def visible_to(user: str | Column, owner: str = "user_id") -> Column:
 
 def owned_by(user: str | Column, owner: str = "user_id") -> Column:
     """Lists: rows of the user only. Ownerless rows can be read but are never listed."""
-    return F.coalesce(F.col(owner) == (user if isinstance(user, Column) else F.lit(user)), F.lit(False))
+    return F.col(owner) == (user if isinstance(user, Column) else F.lit(user))
 
 
 def ready() -> Column:
-    return F.coalesce(F.col("status") == "ready", F.lit(False))
+    return F.col("status") == "ready"
 
 
 def last_n(messages: DataFrame, n: int = SETTINGS.history, key: str = "conversation_id", at: str = "created_at", tie: str = "id") -> DataFrame:

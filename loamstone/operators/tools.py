@@ -93,7 +93,7 @@ def tree_text(nodes: DataFrame, key: str = "repo_id", most: int = SETTINGS.tree_
     joined = chain.join(ancestors, [key, "a_path"])
     lined = joined.groupBy(key, "path", "name", "type", "bytes", "is_last").agg(F.array_sort(F.collect_list(F.struct("_level", "a_kind", "a_low", "a_name", "a_last"))).alias("c"))
     stems = F.array_join(F.transform(F.slice("c", 1, F.size("c") - 1), lambda x: F.when(x["a_last"], "    ").otherwise("│   ")), "")
-    tail = F.when(F.col("type") == "directory", F.concat(F.lit("📁 "), F.col("name"), F.lit("/"))).otherwise(F.concat(F.lit("📄 "), F.col("name"), F.coalesce(F.concat(F.lit(" ("), F.format_string("%.1f", F.col("bytes") / 1024), F.lit(" KB)")), F.lit(""))))
+    tail = F.when(F.col("type") == "directory", F.concat(F.lit("📁 "), F.col("name"), F.lit("/"))).otherwise(F.concat(F.lit("📄 "), F.col("name"), F.when(F.col("bytes").isNotNull(), F.concat(F.lit(" ("), F.format_string("%.1f", F.col("bytes") / 1024), F.lit(" KB)"))).otherwise("")))
     drawn = lined.select(key, F.transform("c", lambda x: F.struct(x["a_kind"], x["a_low"], x["a_name"])).alias("sort"), F.concat(stems, F.when(F.col("is_last"), "└── ").otherwise("├── "), tail).alias("line"))
     numbered_lines = drawn.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("sort")))
     total = numbered_lines.groupBy(key).agg(F.max("n").alias("total"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+#: Each as DDL, which readers and createDataFrame take.
+SCHEMAS = {
     "users": "id string, email string, name string",
     "repositories": "id string, user_id string, name string, url string, local_path string, status string, file_count int, chunk_count int, ingestion_progress int, ingestion_total_chunks int, ingestion_cached_chunks int, ingestion_phase string, error_message string, created_at timestamp, updated_at timestamp",
     "conversations": "id string, user_id string, repo_id string, title string, created_at timestamp, updated_at timestamp",
@@ -26,8 +25,6 @@ _DDL = {
     "ingestion_result": "repo_name string, local_path string, file_count int, chunk_count int, success boolean, error string",
 }
 
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 #: Domains of the enumerated columns.
 STATUSES = ("pending", "ingesting", "ready", "failed")
 ROLES = ("user", "assistant", "system", "tool")
