@@ -43,8 +43,12 @@ PHONES = (
     re.compile(r"(?<![\w.\-/+])0\d{2,4}[ /-]\d{3,4}[ -]\d{3,4}(?![\w-])"),
     re.compile(r"(?<![\w.\-/+])\d{3}-\d{4}(?=\s*(?:ext\.?|x|extension)\s*\d)"),
 )
-#: A short number is a telephone number only beside a word that says so.
-SHORT_PHONE = re.compile(r"(?i)(?:\btel(?:[eé]fono|[eé]phone|efone|efon|\.)?|\bphone|\bcall|\bfax|\bmobile|\bpager|\bnumber is|致电|电话)[^\n\d]{0,24}?(\d{3}[- ]\d{4}|\d{6,11})(?![\w-])")
+#: A short number is a telephone number only behind a word that says so.
+SHORT_PHONE = re.compile(r"(?<![\w.+/-])(?:\d{3}[- ]\d{4}|\d{6,11})(?![\w-])")
+PHONE_WORDS = re.compile(r"(?i)(?:\btel(?:[eé]fono|[eé]phone|efone|efon|\.)?|\bphone|\bcall|\bfax|\bmobile|\bpager|\bnumber is|致电|电话)[^\n\d]{0,24}$")
+#: Every number of either kind has one of these in it; the patterns are tried around them only.
+NUMBER = re.compile(r"\d[\d ()./-]{4,}\d|\d{6,}|[A-Z]\d{2}[A-Z]\d{4}")
+AROUND = 20
 ID_NUMBERS = (
     re.compile(rf"(?<![\w.\-/+])\d{{3}}([- ])\d{{2}}\1\d{{4}}(?![\w-]|\.\d)"),
     re.compile(rf"{_B}[XYZ][- ]?\d{{7}}[- ]?[A-Z]{_E}(?!-)"),
@@ -56,9 +60,10 @@ ID_NUMBERS = (
 )
 #: Words before a personal number.
 ID_WORDS = re.compile(
-    r"(?i)(?:passport(?: number| no\.?)?|national id(?:entity)?(?: number)?|(?:personal )?identity number|tax (?:id|number)|\bssn|social security number|ausweisnummer|personalausweis|steuernummer|steuer-?id|num[ée]ro d['’]identit[ée]|documento de identidade?|\bdni|\bnif|\bnie|\bcpf|证件号码?|身份证号?|护照号?)\s*(?:is|ist|est|es|é|:|：|#|no\.?)?\s*"
+    r"(?i)(?:passport(?: number| no\.?)?|national id(?:entity)?(?: number)?|(?:personal )?identity number|tax (?:id|number)|\bssn|social security number|ausweisnummer|personalausweis|steuernummer|steuer-?id|num[ée]ro d['’]identit[ée]|documento de identidade?|\bdni|\bnif|\bnie|\bcpf|证件号码?|身份证号?|护照号?)\s*(?:is|ist|est|es|é|:|：|#|no\.?)?\s*$"
 )
-_ID_SIGNS = ("passport", "national id", "identi", "tax ", "ssn", "social sec", "ausweis", "steuer", "dni", "nif", "nie", "cpf", "证件", "身份", "护照")
+#: Where a value may start whose kind the words before it tell.
+_VALUE_START = re.compile(r"(?<![\w.-])[A-Z]{0,3} ?\d")
 ID_VALUE = re.compile(r"(?=[A-Z0-9./ -]*\d[A-Z0-9./ -]*\d[A-Z0-9./ -]*\d)[A-Z0-9]{1,12}(?:[ ./-][A-Z0-9]{1,8}){0,4}")
 
 # street addresses
@@ -76,6 +81,14 @@ ADDRESSES = (
     re.compile(rf"(?<![\w.])(?:[A-ZÄÖÜ][a-zäöüß]+(?:[ -][A-ZÄÖÜ][a-zäöüß]+)*?(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm)|[A-ZÄÖÜ][a-zäöüß]+(?:er|en)? (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Ring|Damm))\s+{_HOUSE}"),
     re.compile(r"[一-鿿]{2,12}(?:路|街|大道|巷)\s?\d+\s?号"),
 )
+#: Of these a text needs one for each pattern.
+_STREET_SIGNS = (
+    (" Street", " St", " Road", " Rd", " Lane", " Ln", " Ave", " Boulevard", " Blvd", " Drive", " Dr", " Court", " Ct", " Close", " Pl", " Sq", " Terrace", " Way", " Crescent", " Row", " Mews", " Hill", " Parkway", " Pkwy", " Highway", " Hwy", " Gardens", " Grove"),
+    (" rue ", " avenue ", " boulevard ", " place ", " chemin ", " impasse ", " allée ", " allee ", " quai "),
+    ("Calle ", "Avenida ", "Avda", "Paseo ", "Plaza ", "Camino ", "Carrera ", "Rua ", "Travessa ", "Largo ", "Via ", "Viale ", "Piazza ", "Corso ", "C/ "),
+    ("straße", "strasse", "str.", "weg ", "gasse", "platz", "allee", "ufer", "ring ", "damm", " Straße", " Strasse", " Str.", " Weg ", " Gasse", " Platz", " Allee", " Ufer", " Ring", " Damm"),
+    ("号",),
+)
 #: A place or a postal code has to follow, in the line or the next one.
 AFTER_STREET = re.compile(rf"(?:,?\s*{_UNIT.rstrip('+').rstrip(chr(92) + 's').rstrip(',?')})?,?[ \t]*(?:\r?\n[ \t>#*/|]*|[ \t])(?:\d{{4,6}}\b|[A-ZÀ-Þ][\w'’ß-]+)")
 
@@ -273,6 +286,19 @@ def _common(word: str, text: str) -> bool:
 # all kinds
 
 
+def _windows(rx: re.Pattern, text: str, around: int) -> Iterator[tuple[int, int]]:
+    """The parts of text around the matches of rx, in order and apart."""
+    lo = hi = -1
+    for m in rx.finditer(text):
+        if m.start() - around > hi:
+            if hi >= 0:
+                yield lo, hi
+            lo = max(0, m.start() - around)
+        hi = min(len(text), m.end() + around)
+    if hi >= 0:
+        yield lo, hi
+
+
 def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each case, in order, without overlaps: of two that overlap, the kind that comes first in email, address, phone, id_number, name; then the earlier, then the longer."""
     cases: list[tuple[int, int, int, str]] = []
@@ -290,25 +316,29 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     if any(x in low for x in ("at]", "at)", "at}", "at>")) or " dot " in low or "[dot" in low or "(dot" in low:
         for m in SPELLED_EMAIL.finditer(text):
             add(0, m.start(), m.end(), "email")
-    for rx in ADDRESSES:
+    for rx, signs in zip(ADDRESSES, _STREET_SIGNS, strict=True):
+        if not any(x in text for x in signs):
+            continue
         for m in rx.finditer(text):
             if AFTER_STREET.match(text, m.end()) or m.end() == len(text.rstrip()):
                 add(1, m.start(), m.end(), "address")
-    if re.search(r"\d{3}", text):
+    for lo, hi in _windows(NUMBER, text, AROUND):
         for k, rx in enumerate(ID_NUMBERS):
-            for m in rx.finditer(text):
+            for m in rx.finditer(text, lo, hi):
                 if k == 4 and not 7 <= sum(c.isdigit() for c in m[0]) <= 11:
                     continue
                 add(2, m.start(), m.end(), "id_number")
-        for m in ID_WORDS.finditer(text) if any(x in low for x in _ID_SIGNS) else ():
-            v = ID_VALUE.match(text, m.end())
-            if v and sum(c.isdigit() for c in v[0]) >= 5:
-                add(2, v.start(), v.end(), "id_number")
         for rx in PHONES:
-            for m in rx.finditer(text):
+            for m in rx.finditer(text, lo, hi):
+                add(3, m.start(), m.end(), "phone")
+        for m in SHORT_PHONE.finditer(text, lo, hi):
+            if PHONE_WORDS.search(text[max(0, m.start() - 40) : m.start()]):
                 add(3, m.start(), m.end(), "phone")
-        for m in SHORT_PHONE.finditer(text) if any(x in low for x in ("tel", "phone", "call", "fax", "mobile", "pager", "number is", "致电", "电话")) else ():
-            add(3, m.start(1), m.end(1), "phone")
+        for m in _VALUE_START.finditer(text, lo, hi):
+            if ID_WORDS.search(text[max(0, m.start() - 48) : m.start()]):
+                v = ID_VALUE.match(text, m.start())
+                if v and sum(c.isdigit() for c in v[0]) >= 5:
+                    add(2, v.start(), v.end(), "id_number")
     for start, end in names_in(text, low, lexicon):
         add(4, start, end, "name")
     taken: list[tuple[int, int, str]] = []
