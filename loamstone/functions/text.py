@@ -146,3 +146,32 @@ def edit_once(content: Column, old: Column, new: Column) -> tuple[Column, Column
 
 def truncated(s: Column, most: int) -> Column:
     return F.substring(s, 1, most)
+
+
+def answer_html(s: Column) -> Column:
+    """A Markdown answer as HTML for display: fences, code, bold, italics, headings, lists, paragraphs. All signs of HTML in the text are escaped before anything is made of it, so nothing of it can become an element."""
+    steps = (
+        ("&", "&amp;"),
+        ("<", "&lt;"),
+        (">", "&gt;"),
+        ('"', "&quot;"),
+        (r"(?m)^```(\w*)\n([\s\S]*?)\n?```$", "<pre><code class=\"language-$1\">$2</code></pre>"),
+        (r"`([^`\n]+)`", "<code>$1</code>"),
+        (r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>"),
+        (r"\*([^*\n]+)\*", "<em>$1</em>"),
+        (r"(?m)^### (.+)$", "<h4>$1</h4>"),
+        (r"(?m)^## (.+)$", "<h3>$1</h3>"),
+        (r"(?m)^# (.+)$", "<h2>$1</h2>"),
+        (r"(?m)^(?:- |[0-9]+\. )(.+)$", "<li>$1</li>"),
+        (r"((?:<li>[^\n]*</li>\n?)+)", "<ul>$1</ul>"),
+        (r"\n\n", "</p><p>"),
+        (r"\n", "<br/>"),
+    )
+    for pattern, replacement in steps:
+        s = F.regexp_replace(s, pattern, replacement)
+    return F.concat(F.lit("<p>"), s, F.lit("</p>"))
+
+
+def edit_lines(s: Column) -> Column:
+    """How many lines a replaced text takes: its line feeds and one."""
+    return F.regexp_count(s, F.lit("\n")) + 1

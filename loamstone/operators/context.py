@@ -80,3 +80,16 @@ def sources(hits: DataFrame, key: str = "qid") -> DataFrame:
     fields = F.struct("file_path", "language", "start_line", "end_line", "chunk_type", F.coalesce("name", F.lit("")).alias("name"), F.round("relevance_score", 4).alias("relevance_score"))
     listed = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", fields.alias("s")))).alias("l"))
     return listed.select(key, F.transform("l", lambda x: x["s"]).alias("sources")).withColumn("metadata_json", F.when(F.size("sources") > 0, F.to_json(F.struct("sources"))))
+
+
+def memory_bundle(messages: DataFrame, facts: DataFrame, conversations: DataFrame) -> DataFrame:
+    """conversation_id, bundle: the last turns of each conversation and the first facts of its repository, as one struct."""
+    from loamstone.operators.history import fact_set, last_n
+
+    turns = last_n(messages.filter(F.col("conversation_id").isNotNull()))
+    history = turns.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("history"))
+    few = fact_set(facts).withColumn("_n", F.row_number().over(Window.partitionBy("repo_id").orderBy("fact"))).filter(F.col("_n") <= SETTINGS.facts)
+    known = few.groupBy("repo_id").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
+    both = conversations.select(F.col("id").alias("conversation_id"), "repo_id").distinct().join(history, "conversation_id", "left").join(known, "repo_id", "left")
+    empty = F.array().cast("array<struct<role: string, content: string>>")
+    return both.select("conversation_id", F.struct(F.coalesce("history", empty).alias("history"), F.coalesce("facts", F.array().cast("array<string>")).alias("facts")).alias("bundle"))

@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query sides up to this many bytes of vectors are broadcast; larger ones are worked off in blocks.
+#: Query sides are fetched in blocks of so many bytes; up to the second number topk takes the form that broadcasts them.
 MAX_QUERY_BYTES = 64 << 20
+MAX_BROADCAST_BYTES = 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,15 +42,24 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
 
 
 def topk_expr(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """qid, vec_id, dist, rank. queries: qid, qvec (few rows, broadcast); vectors: vec_id, embedding. k=0 means the default of 10.
+    """qid, vec_id, dist, rank. queries: qid, qvec (few rows, which the caller knows of, see topk); vectors: vec_id, embedding. k=0 means the default of 10.
 
     Vectors that are null, of another length or zero are no hits; an empty side gives no rows. The window keeps a group limit
     below its exchange, so each task sends k rows per query.
     """
     k = k or 10
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(queries.select("qid", "qvec")), F.lit(True))
-    hits = pairs.select("qid", "vec_id", cosine_distance(F.col("qvec"), F.col("embedding")).alias("dist")).filter(F.col("dist").isNotNull())
-    return rank_hits(hits, k)
+    # norms are a matter of a row, not of a pair
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    left = vectors.select("vec_id", "embedding", norm("embedding").alias("_v")).filter(F.col("_v") > 0)
+    right = queries.select("qid", "qvec", norm("qvec").alias("_q")).filter(F.col("_q") > 0)
+    pairs = left.join(F.broadcast(right), F.size("embedding") == F.size("qvec"))
+    return rank_hits(pairs.select("qid", "vec_id", (1 - dot(F.col("qvec"), F.col("embedding")) / (F.col("_q") * F.col("_v"))).alias("dist")), k)
+
+
+def topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """The exact hits of either form. The queries are measured first: few go into expressions, more are multiplied in blocks, so that nothing that grows with the data is broadcast whole."""
+    size = queries.select(F.sum(F.size("qvec") * 8).alias("b")).first()["b"] or 0
+    return topk_expr(queries, vectors, k) if size <= MAX_BROADCAST_BYTES else topk_matrix(queries, vectors, k)
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import text
 from loamstone.operators import agent, context, history
-from loamstone.operators.topk import relevance, topk_expr
+from loamstone.operators.topk import relevance, topk
 from loamstone.plans import sqltext as q
 from loamstone.session import table
 from loamstone.streaming import state
@@ -175,10 +175,30 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def best_scores(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    hits = topk_expr(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), v.filter("vec_id % 50 <> 0"), 10)
+    hits = topk(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), v.filter("vec_id % 50 <> 0"), 10)
     return hits.groupBy("qid").agg(F.round(F.max(relevance(F.col("dist"))), 6).alias("best"))
 
 
+def answer_html(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d).filter("role = 'assistant' AND content IS NOT NULL")
+    return m.select("id", text.hash16(text.answer_html(F.col("content"))).alias("digest"))
+
+
+def memory_bundles(spark: SparkSession, d: str) -> DataFrame:
+    b = context.memory_bundle(_messages(spark, d), table(spark, d, "facts"), table(spark, d, "conversations"))
+    return b.select("conversation_id", F.size("bundle.history").alias("turns"), F.size("bundle.facts").alias("facts"), F.array_join("bundle.facts", "|").alias("joined"))
+
+
+def top_files(spark: SparkSession, d: str) -> DataFrame:
+    h = _hits(spark, d).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_path"))), lambda x: x["file_path"]).alias("p"))
+    return h.select("qid", F.array_join(agent.top_files(F.col("p")), "|").alias("files"))
+
+
+def executor_prompts(spark: SparkSession, d: str) -> DataFrame:
+    r = _runs(spark, d).withColumn("p", agent.parse_plan(F.col("plan_reply")))
+    return r.select("run_id", text.hash16(agent.executor_prompt(F.col("user_query"), F.col("p.plan"), F.lit(""), F.col("p.reasoning"), F.lit(None).cast("string"))).alias("digest"))
+
+
 _M = "m AS (SELECT DISTINCT * FROM messages)"
 _HITS = """c AS (SELECT DISTINCT * FROM chunks), hr AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY chunk_id) AS rank FROM c WHERE length(content) < 4000),
 h AS (SELECT repo_id AS qid, *, greatest(0.0, 1 - rank / 16) AS rel FROM hr WHERE rank <= 10)"""
@@ -187,11 +207,25 @@ _RESULT = "'### Result ' || rank || ': ' || file_path || CASE WHEN coalesce(name
 _REPLY = """SELECT id AS run_id, content, length(content) % 3 AS k, length(content) AS n FROM m WHERE role = 'user' AND length(trim(content, ' ')) > 0 AND id IS NOT NULL"""
 _PHRASES = " OR ".join("contains(lower(content), '" + p.replace("'", "''") + "')" for p in text.NEED_PHRASES)
 
+
+def _html() -> str:
+    """The steps of the column function, for RE2."""
+    x = "content"
+    for pattern, replacement in (
+        ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (r"(?m)^```(\w*)\n([\s\S]*?)\n?```$", r'<pre><code class="language-\1">\2</code></pre>'), (r"`([^`\n]+)`", r"<code>\1</code>"), (r"\*\*([^*\n]+)\*\*", r"<strong>\1</strong>"),
+        (r"\*([^*\n]+)\*", r"<em>\1</em>"), ("(?m)^### (.+)$", r"<h4>\1</h4>"), ("(?m)^## (.+)$", r"<h3>\1</h3>"), ("(?m)^# (.+)$", r"<h2>\1</h2>"), (r"(?m)^(?:- |[0-9]+\. )(.+)$", r"<li>\1</li>"), (r"((?:<li>[^\n]*</li>\n?)+)", r"<ul>\1</ul>"), (r"\n\n", "</p><p>"), (r"\n", "<br/>"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{replacement}', 'g')"
+    return x
+
+
+_HTML = _html()
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_budget_context, context_blocks, search_results, source_lists, prompt_assembly, ordered_transcript, last_n_history, list_repositories, list_conversations, history_page, page_envelope,
-        owner_filter, ready_repositories, conversation_counts, cascade_delete, titles, fact_set, facts_text, role_mapping, tool_gate, message_sources, plan_parse, agent_trace, agent_events, chat_events, step_log, query_texts, best_scores,
+        owner_filter, ready_repositories, conversation_counts, cascade_delete, titles, fact_set, facts_text, role_mapping, tool_gate, message_sources, plan_parse, agent_trace, agent_events, chat_events, step_log, query_texts, best_scores, answer_html, memory_bundles, top_files, executor_prompts,
     )
 }
 ORACLE = {
@@ -228,6 +262,14 @@ ORACLE = {
         SELECT conversation_id, 'metadata' AS type, count(*) AS n, CAST(0 AS BIGINT) AS seqs FROM w GROUP BY 1 UNION ALL SELECT conversation_id, 'content', CAST(sum(k) AS BIGINT), CAST(sum(k * (k + 1) // 2) AS BIGINT) FROM w GROUP BY 1 UNION ALL SELECT conversation_id, 'done', count(*), CAST(sum(k + 1) AS BIGINT) FROM w GROUP BY 1""",
     "step_log": f"""WITH {_M}, r AS ({_REPLY}) SELECT run_id, '{{"length":' || n || ',"ok":true}}' AS j FROM r""",
     "query_texts": f"WITH {_M} SELECT id, substr(sha256('{text.QUERY_PREFIX}' || content), 1, 16) AS digest FROM m WHERE role = 'user' AND content IS NOT NULL",
+    "answer_html": "WITH " + _M + ", h AS (SELECT id, " + _HTML + " AS t FROM m WHERE role = 'assistant' AND content IS NOT NULL) SELECT id, substr(sha256('<p>' || t || '</p>'), 1, 16) AS digest FROM h",
+    "memory_bundles": f"""WITH {_M}, t AS (SELECT conversation_id, least(count(*), 20) AS turns FROM m WHERE conversation_id IS NOT NULL GROUP BY 1), f AS (SELECT DISTINCT repo_id, fact FROM facts WHERE fact IS NOT NULL AND repo_id IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fact) AS n FROM f), k AS (SELECT repo_id, count(*) AS facts, string_agg(fact, '|' ORDER BY fact) AS joined FROM r WHERE n <= 10 GROUP BY 1), c AS (SELECT DISTINCT id, repo_id FROM conversations)
+        SELECT c.id AS conversation_id, CAST(coalesce(turns, 0) AS INTEGER) AS turns, CAST(coalesce(facts, 0) AS INTEGER) AS facts, coalesce(joined, '') AS joined FROM c LEFT JOIN t ON t.conversation_id = c.id LEFT JOIN k ON k.repo_id = c.repo_id""",
+    "top_files": f"WITH {_HITS}, d AS (SELECT DISTINCT qid, file_path FROM h WHERE rank <= 5) SELECT qid, string_agg(file_path, '|' ORDER BY file_path) AS files FROM d GROUP BY 1",
+    "executor_prompts": f"""WITH {_M}, r AS ({_REPLY}) SELECT run_id, substr(sha256('## User Question' || chr(10) || chr(10) || content || chr(10) || chr(10) || chr(10) || '## Execution Plan' || chr(10) || chr(10) ||
+        CASE WHEN k < 2 THEN '1. read ' || n || chr(10) || '2. answer' ELSE '1. Search the codebase for relevant code' || chr(10) || '2. Analyze the retrieved code' || chr(10) || '3. Generate a comprehensive response' END || chr(10) || chr(10) || chr(10) ||
+        CASE WHEN k < 2 THEN '' ELSE chr(10) || '## Initial Analysis' || chr(10) || chr(10) || 'Fallback plan due to parsing failure.' || chr(10) || chr(10) END), 1, 16) AS digest FROM r""",
     "best_scores": """WITH h AS (SELECT q.vec_id AS qid, 1 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))) AS dist
         FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0) SELECT qid, round(greatest(0.0, 1 - min(dist)), 6) AS best FROM h GROUP BY 1""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.operators.topk import relevance, topk_expr
+from loamstone.operators.topk import relevance, topk
 from loamstone.session import table
 
 _SQL_HITS = """
@@ -23,17 +23,17 @@ def _queries(v: DataFrame) -> DataFrame:
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return topk_expr(_queries(v), v, 10).select("qid", "vec_id", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
+    return topk(_queries(v), v, 10).select("qid", "vec_id", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return topk_expr(_queries(v), v.filter(F.col("label") == 2), 10).select("qid", "vec_id", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
+    return topk(_queries(v), v.filter(F.col("label") == 2), 10).select("qid", "vec_id", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return topk_expr(_queries(v), v, 10).select("qid", "vec_id", F.round(relevance(F.col("dist")), 4).alias("relevance"))
+    return topk(_queries(v), v, 10).select("qid", "vec_id", F.round(relevance(F.col("dist")), 4).alias("relevance"))
 
 
 def _top(where: str, value: str) -> str:
