@@ -30,8 +30,12 @@ DETECTORS = {
     "jwt": r"(?<![A-Za-z0-9])(?P<value>eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{8,})",
     "url_password": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,64}:(?P<value>[^\s/@\"'`<>]{3,128})@[\w.\[-]",
     "url_parameter": r"[?&](?:api[_-]?key|access[_-]?token|auth[_-]?token|token|sig|signature|client[_-]?secret|secret|password|passwd|pwd|key)=(?P<value>[^\s&\"'`<>#]{8,256})",
-    "authorization": r"(?i:authorization)[\"']?\]?\s*[:=,]\s*[frb]{0,2}[\"'`]?(?i:bearer|token|basic|apikey)\s+(?P<value>[A-Za-z0-9+/_.~=-]{8,1024})",
-    "key_header": r"(?i:x-(?:api-key|auth-token|access-token|api-token|secret-key|client-secret))[\"']?\]?\s*[:=,]\s*[frb]{0,2}[\"'`]?(?P<value>[A-Za-z0-9+/_.~=-]{8,512})",
+    "authorization": r"(?i:authorization)[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?i:bearer|token|basic|apikey)\s+(?P<value>[A-Za-z0-9+/_.~=-]{8,1024})",
+    "key_header": r"(?i:x-(?:api-key|auth-token|access-token|api-token|secret-key|client-secret))[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?P<value>[A-Za-z0-9+/_.~=-]{8,512})",
+    "netrc": r"\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<value>[^\s\"'`]{6,128})",
+    "registry_auth": r"_auth(?:Token)?\s?=\s?[\"']?(?P<value>[A-Za-z0-9+/=_.-]{16,512})",
+    "password_option": r"\bsshpass\s+-p\s?[\"']?(?P<value>[^\s\"'`]{6,128})|\bmysql\w*\s[^\n|;]{0,200}?-p(?P<other>[^\s\"'`-][^\s\"'`]{5,128})",
+    "user_option": r"\bcurl\s[^\n|;]{0,300}?(?:-u|--user)[ =][\"']?[^\s:\"'`]{1,64}:(?P<value>[^\s\"'`]{6,128})",
 }
 #: Words that make a name one of a credential. Found in names and comments, where what stands beside decides.
 KEYWORDS = r"(?i:passw(?:or)?d|passphrase|passwort|pwd|_pass\b|\bpass\b|smtp_?pass|mysql_pwd|pgpassword|secret|api[ _.-]?key|access[ _.-]?key|auth[ _.-]?key|private[ _.-]?key|secret[ _.-]?key|(?:encryption|signing|hmac|billing|deploy|master|shared|account|license|service|storage|consumer|cookie|tls|ssh)[ _.-]?key|token|credential|bearer|registry[ _.-]?auth|redis[ _.-]?auth|_auth\b|auth=\(|auth = \(|\blogin\b|upload[ _.-]?handle|session)"
@@ -42,7 +46,7 @@ BENIGN_NAME = re.compile(r"(?i)(?:hash|sha\d*|digest|checksum|fingerprint|etag|c
 KEY_OF_ID = re.compile(r"(?i)access[._-]?key[._-]?id$|client[._-]?secret[._-]?id$")
 PLACEHOLDER = re.compile(
     r"(?ix)^(?:[x*.•#?\-_=0]+ | <[^>]*>? | \$\{[^}]*\}? | \$\(.*\)? | \$\w+ | %\w+% | %\(?\w*\)?[sd] | \{\{.*\}\}? | \{\w*\} | \[\w*\] | @\w+@ | "
-    r"(?:your|my|the|some|an?|insert|enter|put|add|replace|change|dummy|fake|sample|example|test|todo|fixme|redacted|removed|hidden|masked|null|none|nil|undefined|true|false|empty|n/?a|default|secret|password|passwd|token|user|username|changeme|foo|bar|value|string)(?:[\s_\-].*|me.*|ed)?)$"
+    r"(?!.*\d)(?:your|my|the|some|an?|insert|enter|put|add|replace|change|dummy|fake|sample|example|test|todo|fixme|redacted|removed|hidden|masked|null|none|nil|undefined|true|false|empty|n/?a|default|secret|password|passwd|token|user|username|changeme|foo|bar|value|string)(?:[\s_\-].*|me.*|ed)?)$"
 )
 UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$")
 HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
@@ -54,6 +58,9 @@ COMMENT = re.compile(r"(?:^|\s)(?:#(?!define\b|include\b)|//|--\s|/\*|<!--|;;?\s
 QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 NAME_BEFORE = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`]?\s*\]?\s*\)?\s*(?::=|\|\|=|\?\?=|=>|==?|:(?!:)|,|\(|\s)\s*(?:[frbuFRBUL]{0,2}|new \w+\()?$")
 BARE = re.compile(r"(?:^|[\s{(,])(?:export\s+|set\s+|-{1,2})?([A-Za-z_][\w.-]*)\s*(?:=|:\s)\s*([^\s\"'`,;#(){}\[\]<>$][^\s\"'`,;<>]*)")
+LOGIN_CALL = re.compile(r"(?i)\blog_?in\s*\([^()]*,\s*$")
+#: A comment that tells a value: "password for the demo account is ...", "old token, rotate later: ...", "remove api key ...", "db_password ...".
+TOLD = re.compile(r"(?i)(?:(?:passw(?:or)?d|passphrase|pwd|secret|api[ _-]?key|token)s?(?:\s+(?:for|of|on)\s+[\w .-]{1,40}?\s+(?:is|was)|\s*,\s*[\w ]{1,30}:|\s+(?:is|was|=)|\s*[:=])?|\b(?:remove|rotate|revoke|drop|delete)\s+(?:the\s+)?(?:passw(?:or)?d|secret|api[ _-]?key|token))\s+(?P<value>[^\s\"'`(),;<>]{8,128})\s*(?:\*/|-->)?\s*$")
 #: A value beside a name: a word in prose, which must look like a password by itself.
 PROSE_WORD = re.compile(r"[^\s\"'`(),;<>]+")
 
@@ -66,10 +73,10 @@ def is_placeholder(v: str) -> bool:
     return bool(PLACEHOLDER.match(v)) or "EXAMPLE" in v or "${" in v or "{{" in v or "$(" in v or len(set(v)) <= 3 or bool(re.match(r"(?i)your[_\- ]|.*(?:_here|_me)$", v))
 
 
-def secret_like(v: str, least: int = 8) -> bool:
-    """A value that someone chose or a machine drew: no placeholder, identifier, path or id; letters and digits, or very mixed letters."""
+def secret_like(v: str, least: int = 8, named: bool = False) -> bool:
+    """A value that someone chose or a machine drew: no placeholder, identifier, path or id; letters and digits, or very mixed letters. named: a name says that it's a credential, so it may be written like a name of code, if it has capitals and digits."""
     mixed = sum(c.isupper() for c in v) >= 3 and sum(c.islower() for c in v) >= 3 and sum(c.isdigit() for c in v) >= 2
-    if not least <= len(v) <= 4096 or is_placeholder(v) or UUID.match(v) or PATHLIKE.search(v) and not (mixed and re.fullmatch(r"[A-Za-z0-9+/]{24,}={0,2}", v)) or CLEAN_NAME.match(v) or re.search(r"\s", v):
+    if not least <= len(v) <= 4096 or is_placeholder(v) or UUID.match(v) or PATHLIKE.search(v) and not (mixed and re.fullmatch(r"[A-Za-z0-9+/]{24,}={0,2}", v)) or CLEAN_NAME.match(v) and not (named and len(v) >= 8 and kinds_of_chars(v) >= 3) or re.search(r"\s", v):
         return False
     letters, digits = sum(c.isalpha() for c in v), sum(c.isdigit() for c in v)
     if not letters or not digits:
@@ -98,22 +105,23 @@ def _named(name: str) -> bool:
 def _line_spans(line: str, config: bool) -> list[tuple[int, int, str]]:
     """Values of a line that has a keyword: (start, end, kind)."""
     spans: list[tuple[int, int, str]] = []
-    if len(line) > 20_000:
-        return spans  # generated code on one line: the format detectors still see it whole
     quoted = [(m.start(), m.end(), next(i for i in (1, 2, 3) if m[i] is not None), m) for m in QUOTED.finditer(line)]
     comment = COMMENT.search(line)
     in_words = bool(re.search(r"(?i)\b(?:passw(?:or)?d|passphrase|secret|token|api[ _-]?key|credential)s?\b", re.sub(r"\w*_\w*", lambda m: m[0] if re.search(r"(?i)pass", m[0]) else " ", QUOTED.sub(" ", line))))
-    last_named = None
-    for start, end, group, m in quoted:
-        v = m[group]
-        head = line[:start]
+    in_comment = bool(comment and re.search(r"(?i)\b(?:password|passphrase|secret|api key|token)\b", comment[1]))
+    k = 0
+    while k < len(quoted):
+        # literals that are joined are one value
+        run = [quoted[k]]
+        while k + len(run) < len(quoted) and re.fullmatch(r"\s*\+\s*", line[run[-1][1] : quoted[k + len(run)][0]]):
+            run.append(quoted[k + len(run)])
+        k += len(run)
+        start = run[0][0]
+        v = "".join(m[g] for _, _, g, m in run)
+        own = [(m.start(g), m.end(g), "value") for _, _, g, m in run]
+        head = line[max(0, start - 240) : start]
         before = NAME_BEFORE.search(head[-160:])
         name = before[1] if before else ""
-        if last_named is not None and re.fullmatch(r"\s*\+?\s*", line[last_named:start]):
-            if re.fullmatch(r"[A-Za-z0-9+/_=.-]{6,}", v):
-                spans.append((m.start(group), m.end(group), "value"))
-                last_named = end
-                continue
         if name and re.search(r",\s*$", head):
             name = ""
         # a pair of quoted name and quoted value: setProperty("a.password", "..."), name="x" content="..."
@@ -123,21 +131,18 @@ def _line_spans(line: str, config: bool) -> list[tuple[int, int, str]]:
         if name.lower() in ("f", "b", "r", "content", "value") and not pair:
             name = ""
         if name and _named(name):
-            if HEX.match(v) and len(v) in (32, 40, 48, 56, 64, 96, 128) or secret_like(v, 6):
-                spans.append((m.start(group), m.end(group), "value"))
-                last_named = end
+            if HEX.match(v) and len(v) in (32, 40, 48, 56, 64, 96, 128) or secret_like(v, 6, True):
+                spans += own
                 continue
-        elif (in_words or comment and re.search(KEYWORDS, comment[1])) and not (name and BENIGN_NAME.search(name)) and password_word(v):
-            spans.append((m.start(group), m.end(group), "value"))
-            last_named = end
+        elif (in_words or comment and re.search(KEYWORDS, comment[1])) and not (name and BENIGN_NAME.search(name)) and (password_word(v) or (LOGIN_CALL.search(head) or in_comment) and secret_like(v, 8, True) and kinds_of_chars(v) >= 3):
+            spans += own
             continue
         # a pair of user and password: auth=("name", "...")
         if re.search(r"(?i)\bauth\s*=\s*\(\s*[\"'][^\"']*[\"']\s*,\s*$", head) and secret_like(v, 6):
-            spans.append((m.start(group), m.end(group), "value"))
+            spans += own
         # SQL: PASSWORD '...'
         if re.search(r"(?i)\b(?:password|identified by)\s*$", head) and secret_like(v, 6):
-            spans.append((m.start(group), m.end(group), "value"))
-        last_named = None
+            spans += own
     if config and (m := re.search(r"(?i)\b(?:login|auth|credentials?)\s*[:=]\s*\[?\s*[\w.@-]+\s*,\s*([^\s,\]\"']+)", line)) and password_word(m[1]):
         spans.append((m.start(1), m.end(1), "value"))
     plain = QUOTED.sub(lambda m: " " * len(m[0]), line)
@@ -145,12 +150,15 @@ def _line_spans(line: str, config: bool) -> list[tuple[int, int, str]]:
         for m in BARE.finditer(plain):
             if _named(m[1]) and (config or comment and m.start(1) >= comment.start() or m[0].lstrip().startswith("-")):
                 v = m[2].rstrip("*/").rstrip() if comment and m.start(2) >= comment.start() else m[2]
-                if HEX.match(v) and len(v) in (32, 40, 48, 56, 64, 96, 128) or secret_like(v, 6) and not re.search(r"[(){}]", v):
+                if HEX.match(v) and len(v) in (32, 40, 48, 56, 64, 96, 128) or secret_like(v, 6, True) and not re.search(r"[(){}]", v):
                     spans.append((m.start(2), m.start(2) + len(v), "value"))
     if comment and re.search(KEYWORDS, comment[1]):
-        k = re.search(KEYWORDS, comment[1])
-        base = comment.start(1)
-        for m in PROSE_WORD.finditer(plain, base + k.end()):
+        word = re.search(KEYWORDS, comment[1])
+        for m in TOLD.finditer(plain, comment.start(1)):
+            v = m["value"].rstrip(".:")
+            if secret_like(v, 6, True) and any(c.isdigit() for c in v):
+                spans.append((m.start("value"), m.start("value") + len(v), "value"))
+        for m in PROSE_WORD.finditer(plain, comment.start(1) + word.end()):
             v = m[0].rstrip(".:")
             if password_word(v):
                 spans.append((m.start(), m.start() + len(v), "value"))
@@ -182,11 +190,12 @@ def _keyword_places(text: str) -> Iterator[int]:
 
 
 _PEM_BODY = re.compile(r"(?:(?:\s|\\n|[\"'+,])*[A-Za-z0-9+/=]{16,})*")
+_PEM_RUN = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/=\\]))[A-Za-z0-9+/=]{16,}(?![\w.-])")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 
 
 def spans_of(text: str, path: str | None = None, detectors: tuple[str, ...] = tuple(DETECTORS)) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every credential's value in text, in order, without overlaps. A private key spans from its BEGIN mark to its END mark or the end of text."""
+    """(start, end, kind) of every credential's value in text, in order, without overlaps. A private key has a span for its BEGIN mark, private_key, and one of kind key_body for each run of its text; other code may lie between."""
     out: list[tuple[int, int, str]] = []
     config = bool(path and CONFIG_FILE.search(path.replace("\\", "/")))
     for kind in detectors:
@@ -194,11 +203,16 @@ def spans_of(text: str, path: str | None = None, detectors: tuple[str, ...] = tu
         if kind == "private_key":
             for m in rx.finditer(text):
                 end = _PEM_END.search(text, m.end())
-                stop = end.end() if end else _PEM_BODY.match(text, m.end()).end()
-                body = re.sub(r"\\n|\s|[\"'+,;\\]", "", text[m.end() : end.start() if end else stop])
-                if end and len(body) < 16:
+                other = rx.search(text, m.end())
+                if end is None or other and other.start() < end.start():
+                    stop = _PEM_BODY.match(text, m.end()).end()  # cut off: the key goes as far as its lines do
+                else:
+                    stop = end.start()
+                body = [(r.start(), r.end(), "key_body") for r in _PEM_RUN.finditer(text, m.end(), stop)]
+                if end is not None and not body:
                     continue
-                out.append((m.start(), stop, kind))
+                out.append((m.start(), m.end(), kind))
+                out += body
         elif kind == "named_value":
             done = -1
             for at in _keyword_places(text):
@@ -213,17 +227,20 @@ def spans_of(text: str, path: str | None = None, detectors: tuple[str, ...] = tu
                 out += [(lo + a, lo + b, "password") for a, b, _ in _line_spans(text[lo:hi].rstrip("\r"), config)]
         else:
             for m in rx.finditer(text):
-                v = m["value"]
-                if is_placeholder(v):
+                group = "value" if m["value"] is not None else "other"
+                v = m[group]
+                if is_placeholder(v) or v.startswith("$"):
                     continue
                 if kind == "url_password" and not (secret_like(v, 4) or kinds_of_chars(v) >= 2 and len(v) >= 6):
                     continue
                 if kind == "authorization" and not (_basic(v) or secret_like(v, 8)):
                     continue
-                if kind in ("url_parameter", "key_header") and not secret_like(v, 8):
+                if kind in ("url_parameter", "key_header", "netrc", "password_option", "user_option") and not secret_like(v, 6):
+                    continue
+                if kind == "registry_auth" and not (secret_like(v, 16) or HEX.match(v)):
                     continue
-                out.append((m.start("value"), m.end("value"), kind))
-    out.sort(key=lambda s: (s[0], -s[1]))
+                out.append((m.start(group), m.end(group), kind))
+    out.sort(key=lambda s: (s[0], s[2] == "key_body", -s[1]))
     kept: list[tuple[int, int, str]] = []
     for s in out:
         if not kept or s[0] >= kept[-1][1]:
@@ -232,22 +249,12 @@ def spans_of(text: str, path: str | None = None, detectors: tuple[str, ...] = tu
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """text with each value replaced by its kind in capitals. The marks and line breaks of private keys stay, so no line moves."""
+    """text with each value replaced by its kind in capitals. The marks of a private key stay, and of its lines only what is the key goes, so no line moves."""
     parts, at = [], 0
     for start, end, kind in spans:
-        parts.append(text[at:start])
-        if kind == "private_key":
-            old = text[start:end]
-            first = old[: old.index("-----", 10) + 5]
-            last = m[0] if (m := _PEM_END.search(old)) else ""
-            middle = old[len(first) : len(old) - len(last)]
-            breaks = re.findall(r"\r?\n|\\n", middle)
-            parts.append(first + (breaks[0] if breaks else "") + "REDACTED_PRIVATE_KEY" + "".join(breaks[1:] or breaks) + last)
-        else:
-            parts.append(f"REDACTED_{kind.upper()}")
+        parts += [text[at:start], text[start:end] if kind == "private_key" else f"REDACTED_{kind.upper()}"]
         at = end
-    parts.append(text[at:])
-    return "".join(parts)
+    return "".join([*parts, text[at:]])
 
 
 _NAMES = tuple(DETECTORS)
@@ -278,12 +285,13 @@ def _search(with_text: bool):
             for row, names in _segment(contents).items():
                 text = contents[row].as_py()
                 spans = spans_of(text, batch.column(1)[row].as_py(), names)
-                if not spans:
+                places = [s for s in spans if s[2] != "key_body"]
+                if not places:
                     continue
                 breaks = [m.start() for m in re.finditer("\n", text)]
                 ids.append(batch.column(0)[row].as_py())
-                lines.append([bisect_right(breaks, s[0] - 1) + 1 for s in spans])
-                kinds.append([s[2] for s in spans])
+                lines.append([bisect_right(breaks, s[0] - 1) + 1 for s in places])
+                kinds.append([s[2] for s in places])
                 texts.append(redact(text, spans) if with_text else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["chunk_id", "lines", "kinds", "redacted"])
 
