@@ -185,3 +185,12 @@ def test_scan_files(spark, tmp_path):
     assert [(r.relative_path, r.language, r.line_count) for r in got] == [("src/a.py", "python", 5)]
     counts = {r.reason: r.n for r in source_files.scan_counts(source_files.scan_files(spark, str(tmp_path))).collect()}
     assert counts == {"read": 1, "lines": 1, "extension": 1}
+
+
+def test_materialized_tables(spark):
+    from loamstone.session import drop_materialized, materialize
+
+    df = materialize(spark.range(5).withColumn("k", F.col("id") % 2))
+    assert df.count() == 5 and df.inputFiles()
+    assert materialize(df.limit(0)).count() == 0
+    assert drop_materialized(spark) >= 2 and drop_materialized(spark) == 0
