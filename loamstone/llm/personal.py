@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from loamstone.session import strip_clash
 
-KINDS = ("email", "phone", "id_number", "address", "name")
 #: A lexicon longer than this isn't sent with tasks.
 MAX_LEXICON = 200_000
 
@@ -27,7 +26,6 @@ _B, _E = r"(?<![A-Za-zÀ-ɏ0-9_])", r"(?![A-Za-zÀ-ɏ0-9_])"
 # addresses of electronic mail
 
 EMAIL = re.compile(rf"(?<![A-Za-zÀ-ɏ0-9_.+%/@-])[A-Za-z0-9À-ɏ_%+'-]+(?:\.[A-Za-z0-9À-ɏ_%+'-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,24}}{_E}(?![-@])")
-_AT = r"(?:\s*[\[({<]\s*(?i:at)\s*[\])}>]\s*|\s+(?:AT|at)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?i:dot)\s*[\])}>]\s*|\s+(?:DOT|dot)\s+)"
 SPELLED_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9_.+%/@-])[A-Za-z0-9À-ɏ_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9À-ɏ_%+-]+)*?(?:\s*[\[({{<]\s*(?i:at)\s*[\])}}>]\s*[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+|\s+(?:AT|at)\s+[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|@[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+){_E}"
