@@ -57,11 +57,6 @@ def facts_text(facts: DataFrame, most: int = SETTINGS.facts, key: str = "repo_id
     return few.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(fact)), lambda f: F.concat(F.lit("- "), f)), "\n").alias("text"))
 
 
-def latest(rows: DataFrame, key: list[str], value: str, at: str, tie: str) -> DataFrame:
-    """key, value: the value written last. One partial aggregate, no sort."""
-    return rows.groupBy(*key).agg(F.max_by(value, F.struct(at, tie)).alias(value))
-
-
 def alive(writes: DataFrame, now: Column, ttl_s: int = SETTINGS.memory_ttl_s, key: tuple[str, ...] = ("repo_id", "key"), value: str = "value", at: str = "written_at", tie: str | None = None) -> DataFrame:
     """key, value, expires_at of what is remembered at a time: the last write of each key that isn't in the future, if its lifetime isn't over. Each write starts the lifetime again."""
     past = writes.filter(F.col(at) <= now)

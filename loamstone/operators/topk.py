@@ -24,12 +24,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, in double. Null if either vector is null, has another length or is zero."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), 1 - dot(a, b) / norm)
-
-
 def relevance(distance: Column) -> Column:
     """max(0, 1 - distance)."""
     return F.greatest(F.lit(0.0), 1 - distance)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import paths, text
-from loamstone.operators import history, tools
+from loamstone.operators import checks, history, tools
 from loamstone.operators.ann import ann_topk
 from loamstone.operators.topk import topk_matrix
 from loamstone.plans import sqltext as q
@@ -142,6 +142,17 @@ def ranked_names(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("rank", rank).filter("rank <= 5")
 
 
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    counted = [checks.violations(table(spark, d, name), name) for name in checks.CONSTRAINTS]
+    return counted[0].unionAll(counted[1]).unionAll(counted[2]).unionAll(counted[3])
+
+
+def dangling_references(spark: SparkSession, d: str) -> DataFrame:
+    m, c, r = table(spark, d, "messages"), table(spark, d, "conversations"), table(spark, d, "repositories")
+    lost = checks.dangling(m, "conversation_id", c).select(F.lit("messages").alias("table"), F.col("id"))
+    return lost.unionAll(checks.dangling(c, "repo_id", r).select(F.lit("conversations"), F.col("id"))).groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+
+
 _P = f"p AS (SELECT DISTINCT repo_id, regexp_replace({q.slashes('file_path')}, '^[.]/', '') AS path FROM chunks)"
 _SHOWN = f"({q.strings(paths.SKIP_DIRS['listing'])})"
 _ENTRIES = "e AS (SELECT DISTINCT repo_id, string_split(r, '/')[1] AS name, CASE WHEN len(string_split(r, '/')) > 1 THEN 'directory' ELSE 'file' END AS type FROM x)"
@@ -152,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         directory_listing, subdirectory_listing, tree_nodes, tree_texts, file_contents, line_range_reader, line_stats, symbol_search, edit_once, error_sanitizer, test_commands, latest_phase, ttl_memory,
-        rate_limit, json_field, sse_parse, sse_reassembly, vector_topk_matrix, vector_topk_indexed, event_counts, ranked_names,
+        rate_limit, json_field, sse_parse, sse_reassembly, vector_topk_matrix, vector_topk_indexed, event_counts, ranked_names, constraint_violations, dangling_references,
     )
 }
 ORACLE = {
@@ -185,6 +196,14 @@ ORACLE = {
     "json_field": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
     "sse_parse": "SELECT event_id, event_type AS type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0",
     "sse_reassembly": "SELECT unnest(string_split(replace(fact, ' ', ''), chr(10))) AS line FROM (SELECT DISTINCT repo_id, fact FROM facts WHERE fact IS NOT NULL)",
+    "constraint_violations": """WITH r AS (SELECT 'repositories' AS t, unnest([{'rule': 'id', 'ok': id IS NOT NULL}, {'rule': 'name', 'ok': length(name) BETWEEN 1 AND 255}, {'rule': 'url', 'ok': url IS NULL OR length(url) BETWEEN 1 AND 1024}, {'rule': 'status', 'ok': status IN ('pending', 'ingesting', 'ready', 'failed')},
+        {'rule': 'phase', 'ok': ingestion_phase IS NULL OR ingestion_phase IN ('clone', 'parse', 'embed', 'store', 'done', 'failed')}, {'rule': 'counts', 'ok': file_count >= 0 AND chunk_count >= 0 AND ingestion_progress >= 0}, {'rule': 'times', 'ok': updated_at >= created_at}]) AS x FROM repositories
+        UNION ALL SELECT 'conversations', unnest([{'rule': 'id', 'ok': id IS NOT NULL}, {'rule': 'repo', 'ok': repo_id IS NOT NULL}, {'rule': 'title', 'ok': length(title) BETWEEN 1 AND 512}, {'rule': 'times', 'ok': updated_at >= created_at}]) FROM conversations
+        UNION ALL SELECT 'messages', unnest([{'rule': 'id', 'ok': id IS NOT NULL}, {'rule': 'role', 'ok': role IN ('user', 'assistant', 'system', 'tool')}, {'rule': 'content', 'ok': length(content) >= 1}, {'rule': 'time', 'ok': created_at IS NOT NULL}]) FROM messages
+        UNION ALL SELECT 'chunks', unnest([{'rule': 'id', 'ok': regexp_full_match(chunk_id, '[0-9a-f]{16}')}, {'rule': 'lines', 'ok': start_line >= 1 AND end_line >= start_line}, {'rule': 'type', 'ok': chunk_type IN ('function', 'class', 'block')}, {'rule': 'content', 'ok': length(content) >= 1}]) FROM chunks)
+        SELECT t AS "table", x.rule AS rule, count(*) FILTER (NOT coalesce(x.ok, false)) AS n FROM r GROUP BY 1, 2""",
+    "dangling_references": """SELECT 'messages' AS "table", count(*) AS n FROM messages WHERE conversation_id IS NOT NULL AND conversation_id NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL) HAVING count(*) > 0
+        UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE repo_id IS NOT NULL AND repo_id NOT IN (SELECT id FROM repositories WHERE id IS NOT NULL) HAVING count(*) > 0""",
     "event_counts": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "ranked_names": "WITH n AS (SELECT language, name, count(*) AS n FROM (SELECT DISTINCT * FROM chunks) WHERE name IS NOT NULL AND language IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, name) AS rank FROM n) SELECT * FROM r WHERE rank <= 5",
 }

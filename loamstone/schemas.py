@@ -30,4 +30,3 @@ STATUSES = ("pending", "ingesting", "ready", "failed")
 ROLES = ("user", "assistant", "system", "tool")
 PHASES = ("clone", "parse", "embed", "store", "done", "failed")
 CHUNK_TYPES = ("function", "class", "block")
-EVENT_TYPES = ("metadata", "content", "done", "agent_step", "final_answer", "error")

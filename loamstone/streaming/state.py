@@ -14,7 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamstone.config import SETTINGS
 
-#: The mark of a line of server-sent events that carries data.
+#: Kinds of events, and the mark of a line of server-sent events that carries data.
+EVENT_TYPES = ("metadata", "content", "done", "agent_step", "final_answer", "error")
 DATA_MARK = "data: "
 
 
@@ -26,6 +27,11 @@ def parse_sse(lines: DataFrame, line: str = "value") -> DataFrame:
     return good.withColumn("type", F.get_json_object("payload", "$.type"))
 
 
+def known_events(events: DataFrame) -> DataFrame:
+    """Events of the known kinds."""
+    return events.filter(F.col("type").isin(*EVENT_TYPES))
+
+
 def reassemble(fragments: DataFrame, key: str = "stream_id", order: str = "seq", text: str = "text") -> DataFrame:
     """key, line of text that arrived in fragments: joined in order, cut at line feeds. What follows the last one isn't finished and is left out. One answer's fragments are one group."""
     joined = fragments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "").alias("_text"))

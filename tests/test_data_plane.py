@@ -170,6 +170,13 @@ def test_stores(spark, tmp_path):
     assert [r.repo_id for r in stores.load_cache(spark, path).collect()] == ["s"]
     with pytest.raises(ValueError):
         stores.drop_partition(spark, path, "../x")
+    v = chunks(spark, 3).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    assert stores.load_vectors(spark, str(tmp_path / "v")).count() == 0
+    assert stores.store_vectors(v, str(tmp_path / "v")) == 3 and stores.store_vectors(v.limit(2), str(tmp_path / "v")) == 2
+    assert stores.load_vectors(spark, str(tmp_path / "v"), "r").count() == 2
+    stores.append(v.select("chunk_id"), str(tmp_path / "ids"))
+    stores.append(v.select("chunk_id"), str(tmp_path / "ids"))
+    assert spark.read.parquet(str(tmp_path / "ids")).count() == 6
     stores.create_tables(spark, str(tmp_path / "db"))
     stores.create_tables(spark, str(tmp_path / "db"))
     assert stores.read_table(spark, str(tmp_path / "db"), "messages").count() == 0
@@ -194,3 +201,12 @@ def test_materialized_tables(spark):
     assert df.count() == 5 and df.inputFiles()
     assert materialize(df.limit(0)).count() == 0
     assert drop_materialized(spark) >= 2 and drop_materialized(spark) == 0
+
+
+def test_constraints(spark):
+    from loamstone.operators import checks
+
+    rows = spark.createDataFrame([("0123456789abcdef", 1, 2, "block", "x"), ("x", 0, 2, "other", ""), (None, None, None, None, None)], "chunk_id string, start_line int, end_line int, chunk_type string, content string")
+    assert {r.rule: r.n for r in checks.violations(rows, "chunks").collect()} == {"id": 2, "lines": 2, "type": 2, "content": 2}
+    assert checks.sound(rows, "chunks").count() == 1
+    assert checks.dangling(rows, "chunk_id", rows.filter("chunk_id = 'x'"), "chunk_id").count() == 1

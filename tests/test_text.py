@@ -79,3 +79,9 @@ def test_paths_stay_below_their_root(spark):
     assert got == [True, False, False, True, False, False, True, False]
     assert one(spark, "p string, r string", ("/r/ab/c", "/r/a"), paths.relative(F.col("p"), F.col("r"))) == ("/r/ab/c",)
     assert one(spark, "p string, r string", ("/r/a\\c", "/r/a/"), paths.relative(F.col("p"), F.col("r"))) == ("c",)
+
+
+def test_html_is_escaped(spark):
+    got = values(spark, ["**a** <script>x</script>\n\n- b\n- c\n\n```js\nx < 1\n```"], text.answer_html)
+    assert got == ['<p><strong>a</strong> &lt;script&gt;x&lt;/script&gt;</p><p><ul><li>b</li><br/><li>c</li><br/></ul><br/><pre><code class="language-js">x &lt; 1</code></pre></p>']
+    assert values(spark, ["a\nb", ""], text.edit_lines) == [2, 1]
