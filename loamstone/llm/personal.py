@@ -122,8 +122,52 @@ _CUE_RX = [(re.compile(f"{before}(?P<name>{PERSON}){after}"), single) for before
 #: The cues after which two words may be a name even if both are unknown and in lower case; and fixed values, words that they aren't.
 _SURE_CUES = (4, 5, 7, 8, 9, 10, 11)
 _NO_NAMES = frozenset("the a an this that these those my your his her its our their all any some each every no not to for of in on at by with from as is are was it we you they he she der die das den dem ein eine la le les el los las un une una o os as um uma de do da que und y et e is was".split())
-#: Of these literals a text needs one for each cue, in lower case; none means that it is always tried.
-_CUE_SIGNS = ((), ("hi", "hello", "hey", "dear", "hallo", "liebe", "hola", "bonjour", "salut", "ol", "ciao"), ("thank", "cheers", "regards", "best", "danke", "gr", "merci", "gracias", "saludos", "obrigad", "谢谢"), (":",), ("-by", "author"), ("todo(", "fixme(", "xxx(", "hack(", "note("), (), ("att", "nden", "aten", "cuidados"), ("id", "number", "ausweis", "identi"), ("：", ":"), ("\"", "'"), ("pasted into",), ("--",), ("(",), ("as ",), ("ask ",), ("before touching",), ("wrote", "said", "confirmed", "reported", "replied", "asked", "schrieb", "escribi", "a écrit", "escreveu"))
+_TITLE_WORDS = ("Dr", "Mr", "Mrs", "Ms", "Miss", "Prof", "Herr", "Frau", "Señor", "Senor", "Sr", "Sra", "Se", "Mme", "Mlle", "Monsieur", "Madame", "Sir", "Dame", "Rev", "Hr", "Fr", "Dra", "Dona", "Dom")
+_SAYING = (" wrote", " said", " confirmed", " reported", " replied", " asked", " told", " mentioned", " schrieb", " escribió", " a écrit", " escreveu")
+#: Each cue's literals: one of them stands in every match, so a cue is tried around them only. None means everywhere.
+_ANCHORS = (
+    tuple(t + e for t in _TITLE_WORDS for e in (".", " ", "\t")),
+    tuple(t + e for t in ("Hi", "Hello", "Hey", "Dear", "Hallo", "Liebe", "Lieber", "Hola", "Bonjour", "Salut", "Ola", "Olá", "Ciao") for e in (" ", "\t")),
+    ("Thanks", "Thank you", "Cheers", "Regards", "Best", "Danke", "Grüße", "Grüsse", "Gruße", "Grusse", "Merci", "Gracias", "Saludos", "Obrigado", "Obrigada", "谢谢"),
+    ("Author", "-by", "Committer", "From", "Owner", "Assignee", "Reporter", "Contact", "Name"),
+    ("Author", "-by"),
+    ("TODO(", "FIXME(", "XXX(", "HACK(", "NOTE("),
+    ("eported by", "emeldet von", "ignalé par", "ignale par", "viso de", "visó de", "viso ", "visó ", "visó\t", "viso\t", "eportado por", "ontact ", "ontact\t", "c/o", "C/o", "ritten by", "ent by", "confirmed by"),
+    ("ttention", "ttn", "Händen", "Handen", "attention de", "atención de", "atencion de", "cuidados de"),
+    ("national id", "tax id", "passport number", "Ausweisnummer", "identité", "identite", "identidad"),
+    ("提交人", "联系人", "作者", "姓名"),
+    tuple(f"{n}{q}" for n in ("name", "contact", "user", "owner", "author") for q in ("\"", "'")),
+    ("pasted into the ticket:",),
+    ("-- \n", "-- \r\n", "--\n", "--\r\n"),
+    None,
+    tuple(x for x in _SAYING if x in (" confirmed", " said", " wrote", " told", " reported", " mentioned")),
+    ("Ask ", "Ask\t"),
+    (" before touching", "\tbefore touching"),
+    tuple(x for x in _SAYING if x not in (" told", " mentioned")),
+)
+#: How far before and behind such a literal a match reaches.
+_REACH = 160
+_FINDER = ahocorasick.Automaton()
+for _k, _literals in enumerate(_ANCHORS):
+    for _x in _literals or ():
+        _FINDER.add_word(_x, (*_FINDER.get(_x, (len(_x),)), _k))
+_FINDER.make_automaton()
+
+
+def _cue_windows(text: str) -> dict[int, list[list[int]]]:
+    """The parts of text in which each cue may match, in order and apart."""
+    out: dict[int, list[list[int]]] = {k: [[0, len(text)]] for k, literals in enumerate(_ANCHORS) if literals is None}
+    for end, (size, *cues) in _FINDER.iter(text):
+        lo, hi = max(0, end - size - _REACH), min(len(text), end + _REACH)
+        for k in cues:
+            parts = out.setdefault(k, [])
+            if parts and lo <= parts[-1][1]:
+                parts[-1][1] = hi
+            else:
+                parts.append([lo, hi])
+    return out
+
+
 #: A mail address in angle brackets, behind the name it belongs to.
 _BRACKET = re.compile(r"[ \t]*<[^<>\s@]{1,64}(?:@|[ \t]?[\[(](?i:at)|[ \t]+AT[ \t])")
 _BEFORE_BRACKET = re.compile(rf"(?:^|[\s(:])(?P<name>{PERSON})$")
@@ -219,10 +263,9 @@ def names_in(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, int]]:
             n = _BEFORE_BRACKET.search(text[lo : m.start()])
             if n and _plausible(n["name"], lexicon, False):
                 spans.append((lo + n.start("name"), lo + n.end("name")))
-    for k, ((rx, single), signs) in enumerate(zip(_CUE_RX, _CUE_SIGNS, strict=True)):
-        if signs and not any(x in low for x in signs):
-            continue
-        for m in rx.finditer(text):
+    for k, parts in _cue_windows(text).items():
+        rx, single = _CUE_RX[k]
+        for m in (m for lo, hi in parts for m in rx.finditer(text, lo, hi)):
             raw = m["name"]
             name = _cut(raw, lexicon, single, k in _SURE_CUES)
             if name is None:
