@@ -72,33 +72,44 @@ def prompt_of(text: str) -> str:
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, limits: Limits) -> tuple[np.ndarray, int]:
     """(container of each item, containers). The dot-product heuristic: a container takes, of the items that fit, the one whose sizes go along best with the room that is left, until none fits; sizes are shares of the limits, weighted by how much of each all items need."""
     n = len(tokens)
-    most = np.array([capacity, limits.segments, max(1.0, capacity * limits.loss_share)])
-    sizes = np.stack([tokens, np.ones(n), loss], axis=1) / most
-    need = sizes.sum(axis=0)
-    weighted = sizes * (need / max(need.sum(), 1e-12))
-    order = np.lexsort((np.arange(n), -tokens))
-    sizes, weighted = sizes[order], weighted[order]
     out = np.full(n, -1)
-    alive = np.arange(n)
-    box = 0
-    while len(alive):
-        room = np.ones(3)
-        own, w = sizes[alive], weighted[alive]
-        free = np.ones(len(alive), dtype=bool)
-        while True:
-            fits = free & (own <= room + 1e-9).all(axis=1)
-            if not fits.any():
+    if not n:
+        return out, 0
+    most_loss = max(1.0, capacity * limits.loss_share)
+    need = np.array([tokens.sum() / capacity, n / limits.segments, loss.sum() / most_loss])
+    weight = need / max(need.sum(), 1e-12)
+    # longest first, so that what fits by tokens is the rest of the arrays from some place on
+    order = np.lexsort((np.arange(n), -tokens))
+    size, lost = tokens[order] / capacity, loss[order] / most_loss
+    alive = np.ones(n, dtype=bool)
+    left, box = n, 0
+    while left:
+        room, room_loss, room_segments = 1.0 + 1e-9, 1.0 + 1e-9, limits.segments
+        took = 0
+        while room_segments:
+            first = int(np.searchsorted(-size, -room))
+            if first == len(size):
+                break
+            # all items take one segment, so that term is the same for each and decides nothing
+            score = size[first:] * (weight[0] * room) + lost[first:] * (weight[2] * room_loss)
+            score[~(alive[first:] & (lost[first:] <= room_loss))] = -1.0
+            k = int(score.argmax())
+            if score[k] < 0:
                 break
-            k = int(np.argmax(np.where(fits, w @ room, -1.0)))
-            out[order[alive[k]]] = box
-            free[k] = False
-            room = room - own[k]
-        if free.all():
-            # nothing fits an empty container: the item is alone, whatever its other sizes
-            out[order[alive[0]]] = box
-            free[0] = False
-        alive = alive[free]
+            k += first
+            out[order[k]] = box
+            alive[k] = False
+            room, room_loss, room_segments, took = room - size[k], room_loss - lost[k], room_segments - 1, took + 1
+        if not took:
+            # nothing fits an empty container: the first item is alone, whatever its other sizes
+            k = int(alive.argmax())
+            out[order[k]] = box
+            alive[k] = False
+            took = 1
+        left -= took
         box += 1
+        if left < 0.75 * len(size):
+            size, lost, order, alive = size[alive], lost[alive], order[alive], np.ones(left, dtype=bool)
     return out, box
 
 

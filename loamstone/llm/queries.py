@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.llm import conversations, defects, handwritten, leaks, markup, packing, personal, secrets, split
+from loamstone.llm import conversations, credentials, defects, handwritten, leaks, markup, packing, personal, split
 from loamstone.session import table
 
 
@@ -37,11 +37,11 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.credential_lines(table(spark, sf_dir, "chunks"))
+    return credentials.credential_lines(table(spark, sf_dir, "chunks"))
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_credentials(table(spark, sf_dir, "chunks"), with_text=True)
+    return credentials.find_credentials(table(spark, sf_dir, "chunks"), with_text=True)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamstone.llm import secrets as S
+from loamstone.llm import credentials as S
 from loamstone.llm.grams import GramTable, required_trigrams
 
 # the values are put together here, so that no scanner takes this file for a leak
