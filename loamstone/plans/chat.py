@@ -18,8 +18,8 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of questions: the first chunks of each repository by id, with made-up distances, for its conversations of few characters."""
-    c = table(spark, d, "chunks").distinct().filter(F.length("content") < 4000)
+    """Hits of a question to each repository: its first ten chunks by id, with made-up distances."""
+    c = table(spark, d, "chunks").distinct()
     ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy("chunk_id"))).filter("rank <= 10")
     return ranked.select(F.col("repo_id").alias("qid"), "rank", "chunk_id", "file_path", "language", "start_line", "end_line", "chunk_type", "name", "content", relevance(F.col("rank") / 16).alias("relevance_score"))
 
@@ -158,9 +158,9 @@ def agent_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_events(spark: SparkSession, d: str) -> DataFrame:
-    """Each answer as a stream of events, by its words of the first line."""
+    """Each answer as a stream of events, one for each of its words."""
     m = _messages(spark, d).filter("role = 'assistant' AND content IS NOT NULL AND conversation_id IS NOT NULL")
-    e = state.chat_events(m.select("conversation_id", F.split(F.split("content", "\n")[0], " ", -1).alias("pieces")))
+    e = state.chat_events(m.select("conversation_id", F.split("content", " ", -1).alias("pieces")))
     return e.groupBy("conversation_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
 
 
@@ -175,7 +175,7 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def best_scores(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    hits = topk(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), v.filter("vec_id % 50 <> 0"), 10)
+    hits = topk(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), v, 11).filter("vec_id <> qid")
     return hits.groupBy("qid").agg(F.round(F.max(relevance(F.col("dist"))), 6).alias("best"))
 
 
@@ -200,7 +200,7 @@ def executor_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _M = "m AS (SELECT DISTINCT * FROM messages)"
-_HITS = """c AS (SELECT DISTINCT * FROM chunks), hr AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY chunk_id) AS rank FROM c WHERE length(content) < 4000),
+_HITS = """c AS (SELECT DISTINCT * FROM chunks), hr AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY chunk_id) AS rank FROM c),
 h AS (SELECT repo_id AS qid, *, greatest(0.0, 1 - rank / 16) AS rel FROM hr WHERE rank <= 10)"""
 _BLOCK = "'### ' || file_path || ' (L' || start_line || '–L' || end_line || ') [' || chunk_type || ']' || CASE WHEN coalesce(name, '') <> '' THEN ' — ' || name ELSE '' END || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10) || 'Relevance: ' || format('{:.4f}', rel) || chr(10) || chr(10)"
 _RESULT = "'### Result ' || rank || ': ' || file_path || CASE WHEN coalesce(name, '') <> '' THEN ' (' || name || ')' ELSE '' END || chr(10) || 'Lines ' || start_line || '–' || end_line || ' | ' || chunk_type || ' | Relevance: ' || format('{:.2f}', rel * 100) || '%' || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10)"
@@ -258,7 +258,7 @@ ORACLE = {
         k < 2 AND n % 2 = 0 AS needs_tools, CASE WHEN k < 2 THEN '' ELSE 'Fallback plan due to parsing failure.' END AS reasoning FROM r""",
     "agent_events": f"""WITH {_M}, r AS ({_REPLY}), s AS (SELECT run_id, CASE WHEN k < 2 AND n % 2 = 0 THEN ['metadata', 'planner', 'retrieval', 'tool_agent', 'executor', 'done'] ELSE ['metadata', 'planner', 'retrieval', 'executor', 'done'] END AS e FROM r),
         u AS (SELECT run_id, e, unnest(generate_series(1, len(e))) AS i FROM s) SELECT run_id, CAST(i - 1 AS INTEGER) AS seq, CASE WHEN e[i] IN ('metadata', 'done') THEN e[i] WHEN e[i] = 'executor' THEN 'final_answer' ELSE 'agent_step' END AS type, CASE WHEN e[i] NOT IN ('metadata', 'done') THEN e[i] END AS agent FROM u""",
-    "chat_events": f"""WITH {_M}, w AS (SELECT conversation_id, len(string_split(string_split(content, chr(10))[1], ' ')) AS k FROM m WHERE role = 'assistant' AND content IS NOT NULL AND conversation_id IS NOT NULL)
+    "chat_events": f"""WITH {_M}, w AS (SELECT conversation_id, len(string_split(content, ' ')) AS k FROM m WHERE role = 'assistant' AND content IS NOT NULL AND conversation_id IS NOT NULL)
         SELECT conversation_id, 'metadata' AS type, count(*) AS n, CAST(0 AS BIGINT) AS seqs FROM w GROUP BY 1 UNION ALL SELECT conversation_id, 'content', CAST(sum(k) AS BIGINT), CAST(sum(k * (k + 1) // 2) AS BIGINT) FROM w GROUP BY 1 UNION ALL SELECT conversation_id, 'done', count(*), CAST(sum(k + 1) AS BIGINT) FROM w GROUP BY 1""",
     "step_log": f"""WITH {_M}, r AS ({_REPLY}) SELECT run_id, '{{"length":' || n || ',"ok":true}}' AS j FROM r""",
     "query_texts": f"WITH {_M} SELECT id, substr(sha256('{text.QUERY_PREFIX}' || content), 1, 16) AS digest FROM m WHERE role = 'user' AND content IS NOT NULL",
@@ -271,5 +271,5 @@ ORACLE = {
         CASE WHEN k < 2 THEN '1. read ' || n || chr(10) || '2. answer' ELSE '1. Search the codebase for relevant code' || chr(10) || '2. Analyze the retrieved code' || chr(10) || '3. Generate a comprehensive response' END || chr(10) || chr(10) || chr(10) ||
         CASE WHEN k < 2 THEN '' ELSE chr(10) || '## Initial Analysis' || chr(10) || chr(10) || 'Fallback plan due to parsing failure.' || chr(10) || chr(10) END), 1, 16) AS digest FROM r""",
     "best_scores": """WITH h AS (SELECT q.vec_id AS qid, 1 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))) AS dist
-        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0) SELECT qid, round(greatest(0.0, 1 - min(dist)), 6) AS best FROM h GROUP BY 1""",
+        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) SELECT qid, round(greatest(0.0, 1 - min(dist)), 6) AS best FROM h GROUP BY 1""",
 }

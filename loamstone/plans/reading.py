@@ -54,7 +54,7 @@ def line_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").distinct().filter("name IS NOT NULL AND content IS NOT NULL")
+    c = table(spark, d, "chunks").distinct()
     found = tools.find_definitions(c.select("chunk_id", "file_path", "content"), "storeRow")
     return found.select("chunk_id", "line_no", "line", "pattern", text.hash16(F.col("snippet")).alias("digest"))
 
@@ -178,7 +178,7 @@ ORACLE = {
     "line_range_reader": """SELECT chunk_id, CASE WHEN len(L) >= 3 THEN array_to_string(list_transform(range(3, least(len(L), 7) + 1), lambda i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' | ' || L[i]), chr(10)) END AS body
         FROM (SELECT chunk_id, string_split(content, chr(10)) AS L FROM (SELECT DISTINCT * FROM chunks))""",
     "line_stats": f"SELECT doc_id, {q.line_count('text')} AS lines, length(text) // 4 AS tokens, string_split(text, chr(10))[1] AS first FROM documents WHERE text IS NOT NULL",
-    "symbol_search": r"""WITH f AS (SELECT DISTINCT chunk_id, file_path, string_split(content, chr(10)) AS L FROM chunks WHERE name IS NOT NULL AND contains(content, 'storeRow')),
+    "symbol_search": r"""WITH f AS (SELECT DISTINCT chunk_id, file_path, string_split(content, chr(10)) AS L FROM chunks WHERE contains(content, 'storeRow')),
         l AS (SELECT chunk_id, L, lower(regexp_extract(file_path, '(\.[^.]+)$', 1)) AS ext, unnest(generate_series(1, len(L))) AS i FROM f WHERE NOT regexp_matches(replace(file_path, '\', '/'), '(^|/)([.]git|__pycache__|node_modules|[.]venv|venv|dist|build|[.]next|vendor|target)(/|$)')),
         p(ext, pattern, rx) AS (VALUES """
     + ", ".join(f"('{e}', {k}, '{p.replace('{name}', 'storeRow')}')" for e, ps in tools.DEFINITIONS.items() for k, p in enumerate(ps))
