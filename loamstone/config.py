@@ -48,6 +48,7 @@ class Settings:
     page_size: int = 20
     history_page_size: int = 50
     max_page_size: int = 100
+    connections: int = 30
 
 
 SETTINGS = Settings()

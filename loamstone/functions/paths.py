@@ -49,6 +49,11 @@ DISPLAY_LANGUAGES = {
     ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml", ".md": "markdown", ".sh": "bash", ".bash": "bash", ".zsh": "bash",
     ".ps1": "powershell", ".dockerfile": "dockerfile", ".toml": "toml",
 }
+#: Display languages that are highlighted by their own name; all others are highlighted as text.
+HIGHLIGHTED = (
+    "javascript", "typescript", "python", "java", "go", "rust", "c", "cpp", "csharp", "ruby", "php", "swift", "kotlin", "scala", "html", "css",
+    "scss", "json", "yaml", "xml", "markdown", "bash", "sql",
+)
 
 
 def relative(path: Column, root: Column | None = None) -> Column:
@@ -86,6 +91,11 @@ def display_language(path: Column) -> Column:
     return _mapped(extension(path), DISPLAY_LANGUAGES, "plaintext")
 
 
+def highlight_language(display: Column) -> Column:
+    """The highlighter's name of a display language; text for null and for what it doesn't know."""
+    return F.when(display.isin(*HIGHLIGHTED), display).otherwise("text")
+
+
 def in_skipped_dir(path: Column, profile: str = "scan") -> Column:
     """Whether a part of the path below the root, the name included, is skipped. Null paths are in none."""
     return F.coalesce(F.arrays_overlap(parts(path), F.array(*map(F.lit, SKIP_DIRS[profile]))), F.lit(False))

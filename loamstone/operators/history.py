@@ -22,6 +22,11 @@ def ready() -> Column:
     return F.col("status") == "ready"
 
 
+def holds(given: Column, stored: Column, expires: Column, now: Column) -> Column:
+    """Whether a given token is the stored one and hasn't expired. A null expiry never comes; a null token is none."""
+    return F.coalesce(given == stored, F.lit(False)) & ~F.coalesce(expires < now, F.lit(False))
+
+
 def last_n(messages: DataFrame, n: int = SETTINGS.history, key: str = "conversation_id", at: str = "created_at", tie: str = "id") -> DataFrame:
     """The last n rows of each key with turn, from 1, in their order. Null times come first, ties go by id. The window keeps n rows a key and task before its exchange."""
     newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc_nulls_last()))

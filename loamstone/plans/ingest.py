@@ -34,7 +34,8 @@ def scan_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def language_map(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "chunks").select("file_path")
-    return p.groupBy(paths.language(F.col("file_path")).alias("language"), paths.display_language(F.col("file_path")).alias("display")).agg(F.count(F.lit(1)).alias("n"))
+    n = p.groupBy(paths.language(F.col("file_path")).alias("language"), paths.display_language(F.col("file_path")).alias("display")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("highlight", paths.highlight_language(F.col("display")))
 
 
 def relative_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +196,7 @@ ORACLE = {
     "file_filter": _FILES,
     "file_filter_chunk_paths": f"SELECT repo_id, file_path, {_REASON} AS reason FROM (SELECT DISTINCT repo_id, file_path, file_path AS p, repeat(chr(10), 9) AS content, 0 AS size FROM chunks)",
     "scan_counters": f"SELECT reason, count(*) AS n FROM ({_FILES}) GROUP BY 1",
-    "language_map": f"SELECT {q.case(q.extension('file_path'), paths.LANGUAGES, 'text')} AS language, {q.case(q.extension('file_path'), paths.DISPLAY_LANGUAGES, 'plaintext')} AS display, count(*) AS n FROM chunks GROUP BY 1, 2",
+    "language_map": f"SELECT *, CASE WHEN display IN {paths.HIGHLIGHTED} THEN display ELSE 'text' END AS highlight FROM (SELECT {q.case(q.extension('file_path'), paths.LANGUAGES, 'text')} AS language, {q.case(q.extension('file_path'), paths.DISPLAY_LANGUAGES, 'plaintext')} AS display, count(*) AS n FROM chunks GROUP BY 1, 2)",
     "relative_paths": f"SELECT DISTINCT repo_id, file_path, {q.slashes('file_path')} AS relative_path, NOT regexp_matches({q.slashes('file_path')}, '^(/|[A-Za-z]:)|(^|/)[.][.](/|$)') AS safe FROM chunks",
     "repo_names": r"""SELECT DISTINCT id, CASE WHEN url IS NULL THEN NULL ELSE coalesce(nullif(regexp_replace(list_last(string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '/')), '\.git$', ''), ''), 'unknown_repo') END AS name,
         replace(list_last(string_split(url, '/')), '.git', '') AS upload_name, substr('repo_' || replace(id, '-', '_'), 1, 63) AS collection FROM repositories""",

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loamstone.config import SETTINGS
 from loamstone.schemas import SCHEMAS
 
 
@@ -80,3 +81,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, parts: int, low: int, high: int, **options: str) -> DataFrame:
     """A table of a relational database, read in ranges of a numeric key. The driver's jar must be there."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, numPartitions=str(parts), lowerBound=str(low), upperBound=str(high), **options).load()
+
+
+def write_jdbc(rows: DataFrame, url: str, name: str, most_connections: int = SETTINGS.connections, **options: str) -> None:
+    """Append rows to a table of a relational database, over at most so many connections.
+
+    A task that is lost and run again may have written some of its rows: write to a table with a key, or to one that is merged after.
+    """
+    rows.write.format("jdbc").options(url=url, dbtable=name, numPartitions=str(most_connections), **options).mode("append").save()

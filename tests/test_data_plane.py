@@ -92,6 +92,13 @@ def test_owners_and_memory(spark):
     assert [(x.key, x.value) for x in got] == [("k", "new")]
 
 
+def test_tokens_hold_until_they_expire(spark):
+    rows = [("a", "a", 5), ("a", "a", 4), ("a", "a", None), ("a", "b", 9), (None, None, 9), ("a", None, None)]
+    df = spark.createDataFrame(rows, "given string, stored string, expires int")
+    got = df.select(history.holds(F.col("given"), F.col("stored"), F.col("expires"), F.lit(5)).alias("h")).collect()
+    assert [r.h for r in got] == [True, False, True, False, False, False]
+
+
 def test_linked_account(spark):
     users = spark.createDataFrame([("1", "a@x.test", "gh", "7"), ("2", "b@x.test", None, None)], "id string, email string, oauth_provider string, oauth_id string")
     logins = spark.createDataFrame([(1, "z@x.test", "gh", "7"), (2, "b@x.test", "gh", "9"), (3, "n@x.test", "gh", "1")], "login_id int, email string, oauth_provider string, oauth_id string")
@@ -182,6 +189,18 @@ def test_stores(spark, tmp_path):
     assert stores.read_table(spark, str(tmp_path / "db"), "messages").count() == 0
 
 
+def test_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(40)], "k int, name string")
+    for part in (rows.filter("k < 25"), rows.filter("k >= 25")):
+        stores.write_jdbc(part, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = stores.read_jdbc(spark, url, "things", "K", 4, 0, 40, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"n{i}") for i in range(40)]
+    pushed = got.filter("K < 3")._jdf.queryExecution().executedPlan().toString()
+    assert "*LessThan(k,3)" in pushed
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("\n".join("12345"))
