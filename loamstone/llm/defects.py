@@ -222,6 +222,21 @@ def is_refusal(answer: str) -> bool:
     return False
 
 
+def _left_open(mark: str, text: str) -> bool:
+    """Whether a mark that stands alone at the end of text opens something, since no earlier one of its kind in the paragraph waits to be closed."""
+    if mark[0] in "([{“":
+        return True
+    before = text[text.rfind("\n\n") + 1 : len(text) - len(mark)]
+    kind = re.escape(mark[0])
+    waits = False
+    for m in re.finditer(rf"(?<!{kind}){re.escape(mark)}(?!{kind})", before):
+        after_word = before[m.start() - 1 : m.start()].isalnum()
+        if after_word and before[m.end() : m.end() + 1].isalnum():
+            continue
+        waits = not waits and not after_word
+    return not waits
+
+
 def is_truncated(answer: str) -> bool:
     """Inside code that is still open, or in mid-sentence."""
     text = answer.rstrip()
@@ -248,7 +263,10 @@ def is_truncated(answer: str) -> bool:
         return False
     if core != ended and core[-1] not in "([{":
         # a closed span or quotation without a full stop ends a list item or a quotation, not a sentence
-        word = core.rsplit(None, 1)[-1].lstrip("([{\"'“*")
+        last_word = core.rsplit(None, 1)[-1]
+        word = last_word.lstrip("([{\"'“*")
+        if not word.strip("`_~"):
+            return _left_open(last_word, text)
         return word[-1] == "_" and not word.startswith("_") and not LIST_ITEM.match(last)
     return True
 

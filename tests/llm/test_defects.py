@@ -81,3 +81,13 @@ def test_frame(spark):
     got = [tuple(r) for r in D.defective_answers(df.unionAll(df)).collect()]
     assert got == [("2", "empty")]
     assert D.defective_answers(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("a", ['The function returns "', "Set it to **", "The name is '", "It is called `", "Don't set it to '", 'It is "a" or "', 'It holds (["', "Siehe “"])
+def test_ends_at_an_opening_mark(a):
+    assert D.is_truncated(a)
+
+
+@pytest.mark.parametrize("a", ['It is called " the reader "', "- **The reader **", "It is “read”", "- `a`, `b `", "The users’ call is \"foo()\" or \" x \""])
+def test_ends_at_a_closing_mark(a):
+    assert not D.is_truncated(a)
