@@ -20,7 +20,7 @@ STAND_INS = frozenset(
 REFUSALS = """
 i am unable/afraid to/i assist/help/answer/discuss/provide/share/comply/explain/cannot *
 i am not able/allowed/permitted/authorized to assist/help/answer/discuss/provide/share/comply/explain/talk/go/comment *
-i cannot/could help/assist/answer/discuss/comply/provide/share/disclose/comment *
+i cannot help/assist/answer/discuss/comply/provide/share/disclose/comment *
 i cannot do that/this
 i cannot explain/describe/talk/speak/fulfill/fulfil about/on/that/this/your/the *
 i cannot go into *
@@ -181,11 +181,29 @@ def _normal(text: str) -> list[str]:
     return WORD.findall(t)
 
 
-def _align(template: list, tokens: list[str]) -> float:
-    """The best share of the template's words met in order by a run of tokens in which nothing but slots may lie between them; one word may differ."""
+#: Words of which one says no; an alignment never misses one.
+_NEGATIVE = frozenset("not cannot never decline refuse pass unable afraid outside beyond against no niego negarme declinar rechazar nicht keine ablehnen ne pas refuser décliner interdit não recusar negar 无 不 拒".split())
+#: Words that name nothing but the request itself; and those with which a reason or an aside starts.
+_REQUEST = frozenset(
+    "a about all an any anything at can discuss do further for from here help i in into it kind me more my of on or out please question questions request requests such task that the them these they thing things this those to topic unfortunately with you your "
+    "anfrage aufgabe bei damit dabei das dazu dem den der die dies diese diesen dieser dir frage hierbei hierzu ich ihnen ihre in leider mit nicht weiter "
+    "a ayudar ayudarte ayudarle con de ello en esa ese eso esta este esto la lo pedido petición pregunta solicitud su sobre tema tu "
+    "aider avec ce cela cette ça de demande la le question répondre requête sujet sur t vous votre à "
+    "ajudar com de essa esse isso esta este isto no na nesse nessa o pedido pergunta sobre solicitação "
+    "个 事 件 任 关 务 协 助 您 您 的 你 回 帮 忙 您 此 求 理 答 处 提 供 这 该 请 问 题 项".split()
+)
+_ASIDE = frozenset("because since as so due but even hope regardless although though which until unless without denn weil da obwohl porque pues ya car parce pois 因 为 所 但 抱 希".split())
+CODE_BLOCK = re.compile(r"(?ms)^[ \t>]*(`{3,}|~{3,}).*?(?:^[ \t>]*\1[`~]*[ \t]*$|\Z)")
+SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n\s*\n")
+#: Words of courtesy, of the speaker and of the one spoken to; a sentence with one of them states nothing of the matter.
+_COURTESY = frozenset("i me my you your we please sorry thanks thank hello hi apologies ich mir mich sie ihnen ihre du dir bitte danke leider yo me usted tu te por favor gracias lamento je me vous votre merci désolé eu me você seu obrigado obrigada desculpe lamento 我 您 你 请 谢 抱".split())
+
+
+def _align(template: list, tokens: list[str]) -> tuple[float, int]:
+    """(the best share of the template's words met in order by a run of tokens in which nothing but slots may lie between them, where that run ends); one word may differ, but none that says no."""
     fixed = [t for t in template if t is not None]
     slot_after = [i + 1 < len(template) and template[i + 1] is None for i, t in enumerate(template) if t is not None]
-    best = 0
+    best, end = 0, 0
     for start in range(len(tokens)):
         i, met, missed, free = start, 0, 0, 0
         for k, options in enumerate(fixed):
@@ -196,30 +214,54 @@ def _align(template: list, tokens: list[str]) -> float:
                 met, i = met + 1, j + 1
             else:
                 missed += 1
-                if missed > 1:
+                if missed > 1 or options <= _NEGATIVE:
                     break
             free = 8 if slot_after[k] else 1
-        best = max(best, met)
+        if met > best:
+            best, end = met, i
         if best == len(fixed):
             break
-    return best / len(fixed)
+    return best / len(fixed), end
+
+
+def _declines(sentence: str) -> tuple[bool, bool]:
+    """(whether a sentence declines, whether it declines the request as a whole and not a thing that it names)."""
+    tokens = _normal(sentence)
+    present = set(tokens)
+    if _TRIGGER.isdisjoint(present) or _NEGATIVE.isdisjoint(present):
+        return False, False
+    declines = False
+    for template, fixed in zip(_TEMPLATES, _FIXED, strict=True):
+        # an alignment misses one word at most
+        if sum(present.isdisjoint(options) for options in fixed) > 1:
+            continue
+        share, end = _align(template, tokens)
+        if share >= (1.0 if len(fixed) < 6 else 0.8):
+            declines = True
+            rest = tokens[end:]
+            stop = next((k for k, t in enumerate(rest) if t in _ASIDE), len(rest))
+            if _REQUEST.issuperset(rest[:stop]):
+                return True, True
+    return declines, False
 
 
 def is_refusal(answer: str) -> bool:
-    """Whether the opening of the answer, up to its second sentence, aligns with a refusal and says so of the speaker."""
-    opening = re.split(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n\s*\n", answer.strip(), maxsplit=2)[:2]
-    for sentence in opening:
-        tokens = _normal(sentence)[:40]
-        if _TRIGGER.isdisjoint(tokens):
-            continue
-        present = set(tokens)
-        for template, fixed in zip(_TEMPLATES, _FIXED, strict=True):
-            # an alignment misses one word at most
-            if sum(present.isdisjoint(options) for options in fixed) > 1:
-                continue
-            if _align(template, tokens) >= (1.0 if sum(t is not None for t in template) < 6 else 0.8):
-                return True
-    return False
+    """Whether a sentence of the answer, anywhere in it, aligns with a refusal and says so of the speaker, and the answer gives nothing else.
+
+    One that declines the request as a whole is enough. If it declines a thing that it names, the answer is sound if it holds a
+    block of code or states two things of the matter besides.
+    """
+    text = CODE_BLOCK.sub("\n\n", answer)
+    has_code = text != answer
+    sentences = [s for s in SENTENCE_END.split((text if text.strip() else answer).strip()) if s]
+    found, stated = False, 0
+    for sentence in sentences:
+        declines, whole = _declines(sentence)
+        if whole:
+            return True
+        found |= declines
+        stated += not declines and not sentence.rstrip().endswith(("?", "？")) and _COURTESY.isdisjoint(tokens := _normal(sentence)) and len(tokens) > 2
+    return found and stated < 2 and not has_code
 
 
 def _left_open(mark: str, text: str) -> bool:

@@ -91,3 +91,31 @@ def test_ends_at_an_opening_mark(a):
 @pytest.mark.parametrize("a", ['It is called " the reader "', "- **The reader **", "It is “read”", "- `a`, `b `", "The users’ call is \"foo()\" or \" x \""])
 def test_ends_at_a_closing_mark(a):
     assert not D.is_truncated(a)
+
+
+@pytest.mark.parametrize(
+    "a",
+    [
+        "Thanks for asking. That touches the auth module. I cannot help with that.",
+        "Thank you. You ask how foo sorts its rows. It belongs to the auth module. I must decline to explain foo.",
+        "Given that the module which you name is one of those that hold the keys of the tenants, and that the people who look after it have asked for every question about it to go to them first and to nobody else before, I cannot help with that.",
+        "Danke für die Frage. Es geht um das Modul. Dabei kann ich leider nicht helfen.",
+        "The auth module signs each row. The keys lie in the vault. Sorry, this falls outside what I'm allowed to do.",
+    ],
+)
+def test_refusal_behind_other_sentences(a):
+    assert D.defect(None, a) == "refusal"
+
+
+@pytest.mark.parametrize(
+    "a",
+    [
+        "The lock is taken twice. The writer never gives it back. I cannot explain the second trace.",
+        "The reader is closed first. If that is not enough, I could help with the tests.",
+        "The reader is closed first. I am able to explain the second part too.",
+        "Der Leser wird nicht geschlossen. Ich kann dir mit den Tests helfen, wenn du willst.",
+        "It logs this:\n\n```\nI cannot help with that.\n```\n\nThe caller then gives up.",
+    ],
+)
+def test_sound_answers_with_words_of_refusals(a):
+    assert not D.is_refusal(a)
