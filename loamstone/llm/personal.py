@@ -39,12 +39,14 @@ PHONES = (
     re.compile(r"(?<![\w.\-/])\([2-9]\d{2}\)[ .\-]?\d{3}[ .\-]\d{4}(?![\w-])"),
     re.compile(r"(?<![\w.\-/+])[2-9]\d{2}([.\- ])\d{3}\1\d{4}(?![\w.-]\d|[\w-])"),
     re.compile(r"(?<![\w.\-/+])0\d{2,4}[ /-]\d{3,4}[ -]\d{3,4}(?![\w-])"),
-    re.compile(r"(?<![\w.\-/+])\d{3}-\d{4}(?=\s*(?:ext\.?|x|extension)\s*\d)"),
 )
+#: A number of seven digits is one before an extension, which is looked for behind the part of the text that is searched.
+LOCAL_PHONE = re.compile(r"(?<![\w.\-/+])\d{3}-\d{4}")
+EXTENSION = re.compile(r"\s*(?:ext\.?|x|extension)\s*\d")
 #: A short number is a telephone number only behind a word that says so.
 SHORT_PHONE = re.compile(r"(?<![\w.+/-])(?:\d{3}[- ]\d{4}|\d{6,11})(?![\w-])")
 PHONE_WORDS = re.compile(r"(?i)(?:\btel(?:[eé]fono|[eé]phone|efone|efon|\.)?|\bphone|\bcall|\bfax|\bmobile|\bpager|\bnumber is|致电|电话)[^\n\d]{0,24}$")
-#: Every number of either kind has one of these in it; the patterns are tried around them only.
+#: Every number that its own form tells has one of these in it, so the patterns above and below are tried around them only. A number that the words before it tell may have none.
 NUMBER = re.compile(r"\d[\d ()./-]{4,}\d|\d{6,}|[A-Z]\d{2}[A-Z]\d{4}")
 AROUND = 20
 ID_NUMBERS = (
@@ -56,13 +58,16 @@ ID_NUMBERS = (
     re.compile(r"(?<![\w./+-])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+]\d{4}(?![\w-])"),
     re.compile(rf"{_B}[A-Z]\d{{2}}[A-Z]\d{{4}}[A-Z]\d{_E}"),
 )
-#: Words before a personal number.
+#: Words before a personal number, and what may join them.
 ID_WORDS = re.compile(
-    r"(?i)(?:passport(?: number| no\.?)?|national id(?:entity)?(?: number)?|(?:personal )?identity number|tax (?:id|number)|\bssn|social security number|ausweisnummer|personalausweis|steuernummer|steuer-?id|num[ée]ro d['’]identit[ée]|documento de identidade?|\bdni|\bnif|\bnie|\bcpf|证件号码?|身份证号?|护照号?)\s*(?:is|ist|est|es|é|:|：|#|no\.?)?\s*$"
+    r"(?i)(?:passport(?: number| no(?:\.|(?!\w)))?|national id(?:entity)?(?: number)?|(?:personal )?identity number|tax (?:id|number)|\bssn|social security number|ausweisnummer|personalausweis|steuernummer|steuer-?id|num[ée]ro d['’]identit[ée]|documento de identidade?|\bdni|\bnif|\bnie|\bcpf|证件号码?|身份证号?|护照号?)\s*(?:(?:is|ist|est|es|é)(?!\w)|:|：|#|no(?:\.|(?!\w)))?\s*"
 )
-#: Where a value may start whose kind the words before it tell.
-_VALUE_START = re.compile(r"(?<![\w.-])[A-Z]{0,3} ?\d")
-ID_VALUE = re.compile(r"(?=[A-Z0-9./ -]*\d[A-Z0-9./ -]*\d[A-Z0-9./ -]*\d)[A-Z0-9]{1,12}(?:[ ./-][A-Z0-9]{1,8}){0,4}")
+#: What these words start with, in lower case: they're tried there only.
+_ID_STARTS = ahocorasick.Automaton()
+for _x in ("passport", "national id", "identity number", "tax id", "tax number", "ssn", "social security number", "ausweisnummer", "personalausweis", "steuernummer", "steuerid", "steuer-id", "numéro d", "numero d", "documento de identidad", "dni", "nif", "nie", "cpf", "证件号", "身份证", "护照"):
+    _ID_STARTS.add_word(_x, len(_x))
+_ID_STARTS.make_automaton()
+ID_VALUE = re.compile(r"(?=[A-Z0-9./ -]*\d[A-Z0-9./ -]*\d[A-Z0-9./ -]*\d)[A-Z0-9]+(?:[ ./-][A-Z0-9]{1,8}){0,4}")
 
 # street addresses
 
@@ -122,8 +127,8 @@ _CUE_RX = [(re.compile(f"{before}(?P<name>{PERSON}){after}"), single) for before
 #: The cues after which two words may be a name even if both are unknown and in lower case; and fixed values, words that they aren't.
 _SURE_CUES = (4, 5, 7, 8, 9, 10, 11)
 _NO_NAMES = frozenset("the a an this that these those my your his her its our their all any some each every no not to for of in on at by with from as is are was it we you they he she der die das den dem ein eine la le les el los las un une una o os as um uma de do da que und y et e is was".split())
-_TITLE_WORDS = ("Dr", "Mr", "Mrs", "Ms", "Miss", "Prof", "Herr", "Frau", "Señor", "Senor", "Sr", "Sra", "Se", "Mme", "Mlle", "Monsieur", "Madame", "Sir", "Dame", "Rev", "Hr", "Fr", "Dra", "Dona", "Dom")
-_SAYING = (" wrote", " said", " confirmed", " reported", " replied", " asked", " told", " mentioned", " schrieb", " escribió", " a écrit", " escreveu")
+_TITLE_WORDS = ("Dr", "Mr", "Mrs", "Ms", "Miss", "Prof", "Herr", "Frau", "Señor", "Senor", "Señora", "Senora", "Sr", "Sra", "Mme", "Mlle", "Monsieur", "Madame", "Sir", "Dame", "Rev", "Hr", "Fr", "Dra", "Dona", "Dom")
+_SAYING = tuple(b + w for b in (" ", "\t") for w in ("wrote", "said", "confirmed", "reported", "replied", "asked", "told", "mentioned", "schrieb", "escribió", "a écrit", "escreveu"))
 #: Each cue's literals: one of them stands in every match, so a cue is tried around them only. None means everywhere.
 _ANCHORS = (
     tuple(t + e for t in _TITLE_WORDS for e in (".", " ", "\t")),
@@ -140,12 +145,12 @@ _ANCHORS = (
     ("pasted into the ticket:",),
     ("-- \n", "-- \r\n", "--\n", "--\r\n"),
     None,
-    tuple(x for x in _SAYING if x in (" confirmed", " said", " wrote", " told", " reported", " mentioned")),
+    tuple(x for x in _SAYING if x[1:] in ("confirmed", "said", "wrote", "told", "reported", "mentioned")),
     ("Ask ", "Ask\t"),
     (" before touching", "\tbefore touching"),
-    tuple(x for x in _SAYING if x not in (" told", " mentioned")),
+    tuple(x for x in _SAYING if x[1:] not in ("told", "mentioned")),
 )
-#: How far before and behind such a literal a match reaches.
+#: How far before and behind such a literal a match reaches, long runs of blanks aside: no name and cue are longer.
 _REACH = 160
 _FINDER = ahocorasick.Automaton()
 for _k, _literals in enumerate(_ANCHORS):
@@ -154,20 +159,43 @@ for _k, _literals in enumerate(_ANCHORS):
 _FINDER.make_automaton()
 
 
-def _cue_windows(text: str) -> dict[int, list[list[int]]]:
+def _around(text: str, start: int, end: int, reach: int) -> tuple[int, int]:
+    """The part of text around start to end, with reach characters on either side, and more where half of them or more are blank."""
+    far = reach
+    while (lo := max(0, start - far)) and 2 * sum(map(len, text[lo:start].split())) <= reach:
+        far *= 2
+    far = reach
+    while (hi := min(len(text), end + far)) < len(text) and 2 * sum(map(len, text[end:hi].split())) <= reach:
+        far *= 2
+    return lo, hi
+
+
+def _cue_windows(text: str) -> dict[int, list[tuple[int, int]]]:
     """The parts of text in which each cue may match, in order and apart."""
-    out: dict[int, list[list[int]]] = {k: [[0, len(text)]] for k, literals in enumerate(_ANCHORS) if literals is None}
+    out: dict[int, list[tuple[int, int]]] = {k: [(0, len(text))] for k, literals in enumerate(_ANCHORS) if literals is None}
+    found: dict[int, list[tuple[int, int]]] = {}
     for end, (size, *cues) in _FINDER.iter(text):
-        lo, hi = max(0, end - size - _REACH), min(len(text), end + _REACH)
+        part = _around(text, end - size + 1, end + 1, _REACH)
         for k in cues:
-            parts = out.setdefault(k, [])
-            if parts and lo <= parts[-1][1]:
-                parts[-1][1] = hi
-            else:
-                parts.append([lo, hi])
+            found.setdefault(k, []).append(part)
+    for k, parts in found.items():
+        out[k] = list(_apart(parts))
     return out
 
 
+def _apart(parts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a text in order, those that meet as one."""
+    lo = hi = -1
+    for a, b in sorted(parts):
+        if a > hi:
+            if hi >= 0:
+                yield lo, hi
+            lo, hi = a, b
+        hi = max(hi, b)
+    if hi >= 0:
+        yield lo, hi
+
+
 #: A mail address in angle brackets, behind the name it belongs to.
 _BRACKET = re.compile(r"[ \t]*<[^<>\s@]{1,64}(?:@|[ \t]?[\[(](?i:at)|[ \t]+AT[ \t])")
 _BEFORE_BRACKET = re.compile(rf"(?:^|[\s(:])(?P<name>{PERSON})$")
@@ -190,7 +218,8 @@ class Lexicon:
         self.family = frozenset(t.casefold() for t, k in rows if t and k == "family")
         self.known = self.given | self.family
         self.places = ahocorasick.Automaton()
-        for p in self.known:
+        # a text is searched in lower case, which isn't case folding for every letter
+        for p in self.known | {t.lower() for t, k in rows if t and k in ("given", "family")}:
             self.places.add_word(p, len(p))
         if self.known:
             self.places.make_automaton()
@@ -202,18 +231,13 @@ class Lexicon:
         if len(low) != len(text):
             yield 0, len(text)
             return
-        lo = hi = 0
+        parts = []
         for end, size in self.places.iter(low):
             a, b = end - size + 1, end + 1
             if a and (low[a - 1].isalpha() and low[a - 1] < "\u2e80") or b < len(low) and low[b].isalpha() and low[b] < "\u2e80":
                 continue
-            if a - reach > hi:
-                if hi > lo:
-                    yield lo, hi
-                lo = max(0, a - reach)
-            hi = min(len(text), b + reach)
-        if hi > lo:
-            yield lo, hi
+            parts.append(_around(text, a, b, reach))
+        yield from _apart(parts)
 
     def has(self, part: str) -> bool:
         p = part.casefold()
@@ -254,7 +278,7 @@ def _cut(name: str, lexicon: Lexicon, single: bool, sure: bool = False) -> str |
     return None
 
 
-def names_in(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, int]]:
+def names_in(text: str, low: str, lexicon: Lexicon, gated: bool = True) -> list[tuple[int, int]]:
     """Spans of persons' names: those at places where a name is told, and known full names anywhere."""
     spans: list[tuple[int, int]] = []
     if "<" in text:
@@ -263,7 +287,7 @@ def names_in(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, int]]:
             n = _BEFORE_BRACKET.search(text[lo : m.start()])
             if n and _plausible(n["name"], lexicon, False):
                 spans.append((lo + n.start("name"), lo + n.end("name")))
-    for k, parts in _cue_windows(text).items():
+    for k, parts in (_cue_windows(text) if gated else {k: [(0, len(text))] for k in range(len(_CUE_RX))}).items():
         rx, single = _CUE_RX[k]
         for m in (m for lo, hi in parts for m in rx.finditer(text, lo, hi)):
             raw = m["name"]
@@ -282,7 +306,7 @@ def names_in(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, int]]:
             if THING.match(text, start + len(name)):
                 continue
             spans.append((start, start + len(name)))
-    for lo, hi in lexicon.windows(text, low):
+    for lo, hi in lexicon.windows(text, low) if gated else [(0, len(text))]:
         spans += _known_names(text, lo, hi, lexicon)
     return spans
 
@@ -340,8 +364,22 @@ def _windows(rx: re.Pattern, text: str, around: int) -> Iterator[tuple[int, int]
         yield lo, hi
 
 
-def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each case, in order, without overlaps: of two that overlap, the kind that comes first in email, address, phone, id_number, name; then the earlier, then the longer."""
+_AT_SIGN = re.compile(r"[\[({<]\s*(?i:at)\s*[\])}>]")
+_DOT_SIGN = re.compile(r"[\[({<]\s*(?i:dot)\s*[\])}>]|\s(?:DOT|dot)\s")
+
+
+def _id_words(text: str, low: str, gated: bool) -> Iterator[re.Match]:
+    """Matches of ID_WORDS."""
+    if not gated or len(low) != len(text):
+        yield from ID_WORDS.finditer(text)
+        return
+    for end, size in _ID_STARTS.iter(low):
+        if m := ID_WORDS.match(text, end - size + 1):
+            yield m
+
+
+def find(text: str, lexicon: Lexicon, gated: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each case, in order, without overlaps: of two that overlap, the kind that comes first in email, address, id_number, phone, name; then the earlier, then the longer. gated: patterns are tried only where what each of their matches needs is met, with the same result."""
     cases: list[tuple[int, int, int, str]] = []
     low = text.lower()
 
@@ -354,16 +392,17 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             if before.endswith("://") or re.match(r":[\w~/]", after) or re.search(r"://\S*$", text[max(0, m.start() - 200) : m.start()]):
                 continue
             add(0, m.start(), m.end(), "email")
-    if any(x in low for x in ("at]", "at)", "at}", "at>")) or " dot " in low or "[dot" in low or "(dot" in low:
+    if not gated or _AT_SIGN.search(text) or "dot" in low and _DOT_SIGN.search(text):
         for m in SPELLED_EMAIL.finditer(text):
             add(0, m.start(), m.end(), "email")
+    squeezed = " ".join(text.split())
     for rx, signs in zip(ADDRESSES, _STREET_SIGNS, strict=True):
-        if not any(x in text for x in signs):
+        if gated and not any(x in squeezed for x in signs):
             continue
         for m in rx.finditer(text):
             if AFTER_STREET.match(text, m.end()) or m.end() == len(text.rstrip()):
                 add(1, m.start(), m.end(), "address")
-    for lo, hi in _windows(NUMBER, text, AROUND):
+    for lo, hi in _windows(NUMBER, text, AROUND) if gated else [(0, len(text))]:
         for k, rx in enumerate(ID_NUMBERS):
             for m in rx.finditer(text, lo, hi):
                 if k == 4 and not 7 <= sum(c.isdigit() for c in m[0]) <= 11:
@@ -375,12 +414,14 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         for m in SHORT_PHONE.finditer(text, lo, hi):
             if PHONE_WORDS.search(text[max(0, m.start() - 40) : m.start()]):
                 add(3, m.start(), m.end(), "phone")
-        for m in _VALUE_START.finditer(text, lo, hi):
-            if ID_WORDS.search(text[max(0, m.start() - 48) : m.start()]):
-                v = ID_VALUE.match(text, m.start())
-                if v and sum(c.isdigit() for c in v[0]) >= 5:
-                    add(2, v.start(), v.end(), "id_number")
-    for start, end in names_in(text, low, lexicon):
+        for m in LOCAL_PHONE.finditer(text, lo, hi):
+            if EXTENSION.match(text, m.end()):
+                add(3, m.start(), m.end(), "phone")
+    for m in _id_words(text, low, gated):
+        v = ID_VALUE.match(text, m.end())
+        if v and sum(c.isdigit() for c in v[0]) >= 5:
+            add(2, v.start(), v.end(), "id_number")
+    for start, end in names_in(text, low, lexicon, gated):
         add(4, start, end, "name")
     taken: list[tuple[int, int, str]] = []
     for _, start, end, kind in sorted(cases, key=lambda c: (c[0], c[1], c[1] - c[2])):

@@ -69,3 +69,33 @@ def test_frame(spark):
     assert P.occurrences(docs.filter("doc_id = 1"), lexicon.limit(0)).count() == 2
     clean = {r.doc_id: r.clean for r in P.personal_information(docs, lexicon, key=b"k").collect()}
     assert clean[1].startswith("Thanks, [NAME ") and "[EMAIL " in clean[1]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The Ausweisnummer L01X00T47 is wrong.", [("id_number", "L01X00T47")]),
+        ("Her passport AB12345 was lost.", [("id_number", "AB12345")]),
+        ("A national id GARC850101HDFRRL09 stood there.", [("id_number", "GARC850101HDFRRL09")]),
+        ("passport:" + " " * 60 + "902180395", [("id_number", "902180395")]),
+        ("We called Señora Lindqvar and Senora Ostrand today.", [("name", "Lindqvar"), ("name", "Ostrand")]),
+        ("Mail noemi.x [ at ] velvane.test or a { at } b.test now", [("email", "noemi.x [ at ] velvane.test"), ("email", "a { at } b.test")]),
+        ("Mail x@velvane [ dot ] test or y@b DOT\ntest now", [("email", "x@velvane [ dot ] test"), ("email", "y@b DOT\ntest")]),
+        ("Send it to 12 Tolliver\tRoad, 61984 Valmoret.", [("address", "12 Tolliver\tRoad")]),
+        ("as Ostrand Brockendorn\tsaid before", [("name", "Ostrand Brockendorn")]),
+        ("Call 555-0179" + " " * 40 + "ext. 582", [("phone", "555-0179")]),
+        ("Author:" + " " * 300 + "Talulo Brockendorn", [("name", "Talulo Brockendorn")]),
+    ],
+)
+def test_forms_that_a_gate_left_out(text, want):
+    assert [(k, text[a:b]) for a, b, k in P.find(text, LEXICON)] == want
+
+
+PIECES = [t for t, _ in CASES if t.strip()] + ["Ausweisnummer L01X00T47", "passport AB12345", "Señora Ostrand", "[ at ]", "(dot)", " DOT ", "x@y", "12 Tolliver\tRoad, 61984 Valmoret", "as Ostrand Vale\tsaid", "555-0179  ext. 5", "Groß", "documento de identidad 12345678 de Mark Field", "word", "(", ")", "\n", "\t", ":", ",", " " * 70, "12", "345 678"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from(["", " ", "\n", ". "])), max_size=12))
+def test_gates_change_nothing(pieces):
+    text = "".join(a + b for a, b in pieces)
+    assert P.find(text, LEXICON) == P.find(text, LEXICON, gated=False)
