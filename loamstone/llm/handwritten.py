@@ -35,7 +35,7 @@ BANNER = re.compile(
     r"machine[- ](?:made|generated) |generated (?:from|by|accessor|code|file|automatically)\b|do not (?:edit|modify)\b|automatically generated\b)"
 )
 THIRD_PARTY = re.compile(r"(?i)\bthird-party copy\b|\bvendored (?:copy|from)\b|\bcopied verbatim from\b|^\W{0,8}\w+ v?\d+\.\d+\.\d+ - .*\bupstream\b")
-MARKER = re.compile(r"(?im)^[ \t]*(?://|#|--|/\*+|\*|;|\"\"\"|''')[ \t]*(?:@generated\b|auto-?generated by\b|generated (?:accessor|from field|from the schema|by)\b)[^\n]{0,80}$")
+MARKER = re.compile(r"(?im)^[ \t]*(?://|#|--|/\*+|\*|;|\"\"\"|''')[ \t]*(?:@generated\b|(?:auto-?|code )?generated by\b|generated (?:accessor|from field|from the schema)\b)[^\n]{0,80}$")
 BUNDLER = re.compile(r"/\*\*\*\*\*\*/|/\*\*\*/ |__webpack_require__|\bparcelRequire\b|//[#@] sourceMappingURL=")
 COMMENT_LINE = re.compile(r"^\s*(?://|#|--|/\*|<!--|\*|;|%|\"\"\"|''')")
 
@@ -140,18 +140,47 @@ class _Part:
         self.banner, self.third, self.markers, self.bundler = signs
 
 
+#: What opens a comment of several lines at the start of a line, and what closes it.
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+
+
+def _opening_comment(text: str) -> Iterator[tuple[str, str]]:
+    """(line, the comment's line before it) of all comments before a file's first other line, however long, those inside of block comments too."""
+    closing, before, at = None, "", 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end == -1 else end
+        line, at = text[at:end], end + 1
+        body = line.strip()
+        if closing is None:
+            if not body:
+                before = ""
+                continue
+            if not COMMENT_LINE.match(line):
+                return
+            opening, closing = next((x for x in _BLOCKS if body.startswith(x[0])), ("", None))
+            inside = body[len(opening) :]
+        else:
+            inside = body
+        yield line, before
+        before = body
+        if closing is not None and closing in inside:
+            behind = inside.split(closing, 1)[1].strip()
+            closing = None
+            if behind and not COMMENT_LINE.match(behind):
+                return
+
+
 def _signs(text: str, opens: bool) -> tuple[int, int, int, int]:
     """(banner, third-party mark, markers, bundler marks) of the text of a segment. opens: whether it starts the file."""
     banner = third = 0
-    if opens:
-        for line in text[:2000].split("\n", 8)[:8]:
-            if not line.strip():
-                continue
-            if not COMMENT_LINE.match(line):
-                break
-            banner |= bool(BANNER.match(line.strip().lstrip("#/*-;!<% \"'")))
-            third |= bool(THIRD_PARTY.search(line))
-    markers = len(MARKER.findall(text)) if "enerated" in text else 0
+    for line, before in _opening_comment(text) if opens else ():
+        said = line.strip().lstrip("#/*-;!<% \"'")
+        # a line of prose in a block comment may go on with the sentence of the line before it, and starts with nothing then
+        goes_on = said[:1].islower() and before[-1:].isalnum() and not COMMENT_LINE.match(line)
+        banner |= not goes_on and bool(BANNER.match(said))
+        third |= bool(THIRD_PARTY.search(line))
+    markers = len(MARKER.findall(text)) if "enerated" in text.lower() else 0
     bundler = len(BUNDLER.findall(text)) if "*/" in text or "//#" in text or "require" in text else 0
     return int(banner), int(third), markers, bundler
 
@@ -277,8 +306,11 @@ def file_reasons(chunks: DataFrame) -> DataFrame:
     judged = sums.select("repo_id", "file_path", "tokens", generated.alias("generated"), minified.alias("minified"), data.alias("data"), marked.alias("marked"), *file)
 
     # phrases of marked files, each once; a file's phrases meet them one to one, however often either occurs
+    # a file's mark stands in one of its parts and holds for all of them; files of several parts are few, and their keys short
     third = _path_like(VENDOR_PATH) | (F.col("third_party") > 0)
-    library = features.filter(third).select(F.explode("phrases.symbol").alias("symbol")).distinct()
+    large = sums.filter((F.col("third_party") > 0) & (F.col("parts") > 1)).select(*file, F.lit(True).alias("large"))
+    parts = features.select(*file, third.alias("third"), "phrases").join(F.broadcast(large), ["file", "check"], "left")
+    library = parts.filter(F.col("third") | F.col("large")).select(F.explode("phrases.symbol").alias("symbol")).distinct()
     own = features.filter(~_path_like(VENDOR_PATH) & ~_path_like(GENERATED_PATH) & ~_path_like(MINIFIED_PATH)).select(*file, F.explode("phrases").alias("p")).select("file", "check", F.col("p.symbol").alias("symbol"), F.col("p.tokens").alias("tokens"))
     shared = own.join(library, "symbol", "left_semi").groupBy("file", "check").agg(F.sum("tokens").alias("shared"))
     phrased = features.select(*file, F.aggregate("phrases.tokens", F.lit(0).cast("long"), lambda a, t: a + t).alias("n")).groupBy("file", "check").agg(F.sum("n").alias("phrased"))

@@ -116,3 +116,25 @@ def test_a_grammar_does_not_depend_on_the_others():
     alone = [int(G.repair(s, np.zeros(len(s), dtype=np.int64), 1)[0][0]) for s in symbols]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in symbols])
     assert G.repair(np.concatenate(symbols), owner, len(texts))[0].tolist() == alone
+
+
+LICENCE = "\n".join(f"// Line {i} of the licence, which goes on for long and grants nothing that anybody would want to have of it." for i in range(60))
+
+
+def test_whole_opening_comment():
+    code = "\nlet a = b(c);"
+    assert H._signs(LICENCE + "\n\n// Code generated by x. DO NOT EDIT." + code, True)[0] == 1
+    assert H._signs(LICENCE + "\n// Vendored from upstream." + code, True)[1] == 1
+    assert H._signs("/*\n" + LICENCE.replace("// ", "") + "\nVendored from upstream.\n*/" + code, True)[1] == 1
+    assert H._signs('"""\nA reader.\n\nGenerated by x.\n"""\na = 1', True)[0] == 1
+    assert H._signs("/* Copyright. */" + code + "\n// Code generated by x. DO NOT EDIT.", True) == (0, 0, 1, 0)
+    assert H._signs("/* Copyright. */ let a = b(c);\n// Vendored from upstream.", True)[:2] == (0, 0)
+    assert H._signs('"""\nReads the files which are\ngenerated by x.\n"""\na = 1', True)[0] == 0
+
+
+def test_library_of_several_segments(spark):
+    later = hand(60)
+    rows = [("1", "r1", "core/big.js", "// Vendored from upstream.\n" + hand(20), 1), ("2", "r1", "core/big.js", later, H.LINES_PER_SEGMENT + 1), ("3", "r2", "src/copy.js", later, 1), ("4", "r2", "src/own.js", hand(60), 1)]
+    df = spark.createDataFrame(rows, "chunk_id string, repo_id string, file_path string, content string, start_line int")
+    got = {r.file_path: list(r.reasons) for r in H.file_reasons(df).collect()}
+    assert got == {"core/big.js": ["vendored"], "src/copy.js": ["vendored"]}
