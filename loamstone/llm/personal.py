@@ -95,6 +95,17 @@ _STREET_SIGNS = (
 #: A place or a postal code has to follow, in the line or the next one.
 AFTER_STREET = re.compile(rf"(?:,?\s*{_UNIT.rstrip('+').rstrip(chr(92) + 's').rstrip(',?')})?,?[ \t]*(?:\r?\n[ \t>#*/|]*|[ \t])(?:\d{{4,6}}\b|[A-ZÀ-Þ][\w'’ß-]+)")
 
+#: Which of these say enough by themselves: those with a flat, and street words that hardly mean anything else. Others need a place or the end of the text behind them.
+_STRONG = (
+    re.compile(rf"{_UNIT}|.*\s(?:Street|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Terrace|Crescent|Mews|Parkway|Pkwy\.?|Highway|Hwy\.?|Gardens|Grove)$", re.S),
+    re.compile(rf"{_UNIT}|.*\s(?:rue|boulevard|chemin|impasse|all[ée]e|quai)\s", re.S),
+    re.compile(r"(?:Calle|Avenida|Avda|Paseo|Rua|Travessa|Viale|Piazza|Corso)"),
+    re.compile(r".*(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Gg]asse|[Aa]llee)\s", re.S),
+    re.compile(r""),
+)
+#: What stands before a Chinese street's name and is no part of it.
+_CHINESE_BEFORE = re.compile(r".*(?:[在于到至往寄住是为址]|位于|地址)(?=.{2,}(?:路|街|大道|巷))")
+
 # names
 
 #: Titles, which are no part of a name.
@@ -308,6 +319,7 @@ def names_in(text: str, low: str, lexicon: Lexicon, gated: bool = True) -> list[
             spans.append((start, start + len(name)))
     for lo, hi in lexicon.windows(text, low) if gated else [(0, len(text))]:
         spans += _known_names(text, lo, hi, lexicon)
+        spans += _single_names(text, lo, hi, lexicon)
     return spans
 
 
@@ -339,6 +351,25 @@ def _known_names(text: str, lo: int, hi: int, lexicon: Lexicon) -> Iterator[tupl
             at = m.start() + max(1, first.end() if first else 1)
 
 
+#: A part of a name by itself: no other capitalised word, initial or sign of code beside it.
+_SINGLE = re.compile(rf"(?<![\w.@/\\#$&+=~<>:`'\"_-]){_PARTS}(?![\w@/\\(\[=<_`-]|\.\w|['’]\w{{2}}|:\w)")
+#: Words before a thing of that name; and a word or initial that may be the rest of a name, in mid-sentence.
+_OF_THINGS = re.compile(r"(?i)\b(?:the|a|an|this|that|our|your|their|its|every|each|any|no|der|die|das|dem|den|el|la|le|les|los|las|o|os|project|module|service|library|package|branch|release|class|version|install|deploy|upgrade|restart|run|use|using|via|on|in)[ \t]+$")
+_OTHER_PART = re.compile(r"[^\s.!?:;][ \t]+[A-ZÀ-Þ][\w'’-]*,?[ \t]+$|\b[A-ZÀ-Þ]\.[ \t]*$")
+_GOES_ON = re.compile(r"[ \t]+[A-ZÀ-Þ]|,[ \t]+[A-ZÀ-Þ][\w'’-]+[ \t]*(?:[,.;)\n]|$)")
+
+
+def _single_names(text: str, lo: int, hi: int, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
+    """Known parts that stand alone for a person in text from lo to hi: written like a name, no ordinary word, no thing's name, and no part of a longer one."""
+    for m in _SINGLE.finditer(text, lo, hi):
+        word = m[0]
+        if not lexicon.has(word) or lexicon.ordinary(word) or not _TITLE_CASE.match(word) or word.isupper() or THING.match(text, m.end()):
+            continue
+        before = text[max(0, m.start() - 60) : m.start()]
+        if not (_OF_THINGS.search(before) or _OTHER_PART.search(before) or _GOES_ON.match(text, m.end())):
+            yield m.start(), m.end()
+
+
 def _same_case(words: list[str]) -> bool:
     return all(w.isupper() for w in words) or all(w.islower() for w in words) or all(_TITLE_CASE.match(w) and not w.isupper() for w in words)
 
@@ -396,12 +427,13 @@ def find(text: str, lexicon: Lexicon, gated: bool = True) -> list[tuple[int, int
         for m in SPELLED_EMAIL.finditer(text):
             add(0, m.start(), m.end(), "email")
     squeezed = " ".join(text.split())
-    for rx, signs in zip(ADDRESSES, _STREET_SIGNS, strict=True):
+    for rx, signs, strong in zip(ADDRESSES, _STREET_SIGNS, _STRONG, strict=True):
         if gated and not any(x in squeezed for x in signs):
             continue
         for m in rx.finditer(text):
-            if AFTER_STREET.match(text, m.end()) or m.end() == len(text.rstrip()):
-                add(1, m.start(), m.end(), "address")
+            if strong.match(m[0]) or AFTER_STREET.match(text, m.end()) or m.end() == len(text.rstrip()):
+                before = _CHINESE_BEFORE.match(m[0]) if signs == ("号",) else None
+                add(1, before.end() + m.start() if before else m.start(), m.end(), "address")
     for lo, hi in _windows(NUMBER, text, AROUND) if gated else [(0, len(text))]:
         for k, rx in enumerate(ID_NUMBERS):
             for m in rx.finditer(text, lo, hi):

@@ -99,3 +99,20 @@ PIECES = [t for t, _ in CASES if t.strip()] + ["Ausweisnummer L01X00T47", "passp
 def test_gates_change_nothing(pieces):
     text = "".join(a + b for a, b in pieces)
     assert P.find(text, LEXICON) == P.find(text, LEXICON, gated=False)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("I asked Noemi about the lease.", [("name", "Noemi")]),
+        ("Yesterday Zoë fixed it.", [("name", "Zoë")]),
+        ("So Umbrecht left, and Søren too.", [("name", "Umbrecht"), ("name", "Søren")]),
+        ("The Noemi fixed it. We use Zoë here. Mark it. See Noemi.run and noemi and NOEMI. The Zoë Cache.", []),
+        ("It is 12 Tolliver Road, please.", [("address", "12 Tolliver Road")]),
+        ("我住在南京东路100号。然后", [("address", "南京东路100号")]),
+        ("南京东路100号，谢谢", [("address", "南京东路100号")]),
+        ("It takes 2 Fast Way, please.", []),
+    ],
+)
+def test_single_names_and_addresses_without_a_place(text, want):
+    assert [(k, text[a:b]) for a, b, k in P.find(text, LEXICON)] == want
