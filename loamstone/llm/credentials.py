@@ -22,20 +22,20 @@ DETECTORS = {
     "aws_access_key": r"(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])",
     "github_token": r"(?<![A-Za-z0-9])(?P<value>(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{40,255})(?![A-Za-z0-9])",
     "gitlab_token": r"(?<![A-Za-z0-9])(?P<value>glpat-[A-Za-z0-9_-]{18,64})(?![A-Za-z0-9_-])",
-    "slack_token": r"(?<![A-Za-z0-9])(?P<value>xox[abeoprs]-[A-Za-z0-9-]{16,255})",
+    "slack_token": r"(?<![A-Za-z0-9])(?P<value>xox[abeoprs]-[A-Za-z0-9-]{16,})",
     "payment_key": r"(?<![A-Za-z0-9])(?P<value>(?:sk|rk|pk)_live_[A-Za-z0-9]{16,128})(?![A-Za-z0-9])",
     "registry_token": r"(?<![A-Za-z0-9])(?P<value>npm_[A-Za-z0-9]{30,64}|pypi-[A-Za-z0-9_-]{40,255}|dckr_pat_[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])",
     "cloud_key": r"(?<![A-Za-z0-9])(?P<value>AIza[A-Za-z0-9_-]{35}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}|hf_[A-Za-z0-9]{30,40})(?![A-Za-z0-9])",
     "version_token": r"(?<![A-Za-z0-9.])(?P<value>crv1\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{4,64})(?![A-Za-z0-9])",
     "jwt": r"(?<![A-Za-z0-9])(?P<value>eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{8,})",
     "url_password": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,64}:(?P<value>[^\s/@\"'`<>]{3,128})@[\w.\[-]",
-    "url_parameter": r"[?&](?:api[_-]?key|access[_-]?token|auth[_-]?token|token|sig|signature|client[_-]?secret|secret|password|passwd|pwd|key)=(?P<value>[^\s&\"'`<>#]{8,256})",
-    "authorization": r"(?i:authorization)[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?i:bearer|token|basic|apikey)\s+(?P<value>[A-Za-z0-9+/_.~=-]{8,1024})",
-    "key_header": r"(?i:x-(?:api-key|auth-token|access-token|api-token|secret-key|client-secret))[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?P<value>[A-Za-z0-9+/_.~=-]{8,512})",
-    "netrc": r"\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<value>[^\s\"'`]{6,128})",
-    "registry_auth": r"_auth(?:Token)?\s?=\s?[\"']?(?P<value>[A-Za-z0-9+/=_.-]{16,512})",
-    "password_option": r"\bsshpass\s+-p\s?[\"']?(?P<value>[^\s\"'`]{6,128})|\bmysql\w*\s[^\n|;]{0,200}?-p(?P<other>[^\s\"'`-][^\s\"'`]{5,128})",
-    "user_option": r"\bcurl\s[^\n|;]{0,300}?(?:-u|--user)[ =][\"']?[^\s:\"'`]{1,64}:(?P<value>[^\s\"'`]{6,128})",
+    "url_parameter": r"[?&](?:api[_-]?key|access[_-]?token|auth[_-]?token|token|sig|signature|client[_-]?secret|secret|password|passwd|pwd|key)=(?P<value>[^\s&\"'`<>#]{8,})",
+    "authorization": r"(?i:authorization)[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?i:bearer|token|basic|apikey)\s+(?P<value>[A-Za-z0-9+/_.~=-]{8,})",
+    "key_header": r"(?i:x-(?:api-key|auth-token|access-token|api-token|secret-key|client-secret))[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?P<value>[A-Za-z0-9+/_.~=-]{8,})",
+    "netrc": r"\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<value>[^\s\"'`]{6,})",
+    "registry_auth": r"_auth(?:Token)?\s?=\s?[\"']?(?P<value>[A-Za-z0-9+/=_.-]{16,})",
+    "password_option": r"\bsshpass\s+-p\s?[\"']?(?P<value>[^\s\"'`]{6,})|\bmysql\w*\s[^\n|;]{0,200}?-p(?P<other>[^\s\"'`-][^\s\"'`]{5,})",
+    "user_option": r"\bcurl\s[^\n|;]{0,300}?(?:-u|--user)[ =][\"']?[^\s:\"'`]{1,64}:(?P<value>[^\s\"'`]{6,})",
 }
 #: Words that make a name one of a credential. Found in names and comments, where what stands beside decides.
 KEYWORDS = r"(?i:passw(?:or)?d|passphrase|passwort|pwd|_pass\b|\bpass\b|smtp_?pass|mysql_pwd|pgpassword|secret|api[ _.-]?key|access[ _.-]?key|auth[ _.-]?key|private[ _.-]?key|secret[ _.-]?key|(?:encryption|signing|hmac|billing|deploy|master|shared|account|license|service|storage|consumer|cookie|tls|ssh)[ _.-]?key|token|credential|bearer|registry[ _.-]?auth|redis[ _.-]?auth|_auth\b|auth=\(|auth = \(|\blogin\b|upload[ _.-]?handle|session)"
@@ -48,6 +48,8 @@ PLACEHOLDER = re.compile(
     r"(?ix)^(?:[x*.•#?\-_=0]+ | <[^>]*>? | \$\{[^}]*\}? | \$\(.*\)? | \$\w+ | %\w+% | %\(?\w*\)?[sd] | \{\{.*\}\}? | \{\w*\} | \[\w*\] | @\w+@ | "
     r"(?!.*\d)(?:your|my|the|some|an?|insert|enter|put|add|replace|change|dummy|fake|sample|example|test|todo|fixme|redacted|removed|hidden|masked|null|none|nil|undefined|true|false|empty|n/?a|default|secret|password|passwd|token|user|username|changeme|foo|bar|value|string)(?:[\s_\-].*|me.*|ed)?)$"
 )
+#: Names whose value is a password itself.
+OF_PASSWORD = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|passwort|pwd|[._-]pass|^pass)$")
 UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$")
 HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
 CLEAN_NAME = re.compile(r"^(?:[a-z]+(?:[A-Z][a-z]+)*\d{0,3}|(?:[A-Z][a-z]+)+\d{0,3}|[a-z][a-z]*(?:[_.][a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*|v?\d+(?:\.\d+)*|[a-z]+(?:-[a-z]+)*)$")
@@ -76,7 +78,7 @@ def is_placeholder(v: str) -> bool:
 def secret_like(v: str, least: int = 8, named: bool = False) -> bool:
     """A value that someone chose or a machine drew: no placeholder, identifier, path or id; letters and digits, or very mixed letters. named: a name says that it's a credential, so it may be written like a name of code, if it has capitals and digits."""
     mixed = sum(c.isupper() for c in v) >= 3 and sum(c.islower() for c in v) >= 3 and sum(c.isdigit() for c in v) >= 2
-    if not least <= len(v) <= 4096 or is_placeholder(v) or UUID.match(v) or PATHLIKE.search(v) and not (mixed and re.fullmatch(r"[A-Za-z0-9+/]{24,}={0,2}", v)) or CLEAN_NAME.match(v) and not (named and len(v) >= 8 and kinds_of_chars(v) >= 3) or re.search(r"\s", v):
+    if len(v) < least or is_placeholder(v) or UUID.match(v) or PATHLIKE.search(v) and not (mixed and re.fullmatch(r"[A-Za-z0-9+/]{24,}={0,2}", v)) or CLEAN_NAME.match(v) and not (named and len(v) >= 8 and kinds_of_chars(v) >= 3) or re.search(r"\s", v):
         return False
     letters, digits = sum(c.isalpha() for c in v), sum(c.isdigit() for c in v)
     if not letters or not digits:
@@ -84,6 +86,15 @@ def secret_like(v: str, least: int = 8, named: bool = False) -> bool:
     return True
 
 
+def named_secret(name: str, v: str) -> bool:
+    """Whether a literal beside a credential's own name is its value: like a secret, or, under a name of a password, a number or words with signs."""
+    if HEX.match(v) and len(v) in (32, 40, 48, 56, 64, 96, 128) or secret_like(v, 6, True):
+        return True
+    if not OF_PASSWORD.search(name) or len(v) < 6 or is_placeholder(v) or UUID.match(v) or PATHLIKE.search(v) or CLEAN_NAME.match(v) and not v.isdigit() or re.search(r"\s", v):
+        return False
+    return v.isdigit() or bool(re.search(r"[A-Za-z]", v)) and kinds_of_chars(v) >= 3 and not re.search(r"[(){}\[\]<>=:;,%$/\\]", v)
+
+
 def password_word(v: str) -> bool:
     """A word that looks like a password even in prose: digits amid letters with another sign or a change of case, or words and a number joined by dashes."""
     if not secret_like(v) or HEX.match(v) and len(v) >= 7 and not re.search(r"[g-zG-Z]", v):
@@ -131,7 +142,7 @@ def _line_spans(line: str, config: bool) -> list[tuple[int, int, str]]:
         if name.lower() in ("f", "b", "r", "content", "value") and not pair:
             name = ""
         if name and _named(name):
-            if HEX.match(v) and len(v) in (32, 40, 48, 56, 64, 96, 128) or secret_like(v, 6, True):
+            if named_secret(name, v):
                 spans += own
                 continue
         elif (in_words or comment and re.search(KEYWORDS, comment[1])) and not (name and BENIGN_NAME.search(name)) and (password_word(v) or (LOGIN_CALL.search(head) or in_comment) and secret_like(v, 8, True) and kinds_of_chars(v) >= 3):
@@ -172,8 +183,35 @@ def _basic(v: str) -> bool:
         return False
 
 
-#: A value has a digit or is long; other lines hold none.
-_MAY_HOLD = re.compile(r"\d|[A-Za-z+/=_-]{20}")
+#: An assignment whose value starts on a later line: to a name or a quoted one, an opening bracket or a sign of a block of YAML last. And a literal on a line of its own.
+_OPEN_ASSIGNMENT = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`]?\s*\]?\s*(?::=|=>|(?<![=!<>])=|:)\s*(?:\(|\\|([>|][-+0-9]{0,2}))?\s*$")
+_NEXT_LITERAL = re.compile(r"\s*(?:\\\s*)?(?:\+\s*)?[frbuFRBUL]{0,2}(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)(?!\s*:)")
+_BLOCK_LINE = re.compile(r"\n([ \t]+)(\S[^\n]*)")
+
+
+def _later_lines(text: str, lo: int, hi: int, config: bool) -> list[tuple[int, int, str]]:
+    """The value, on the lines behind, of an assignment left open at the end of the line from lo to hi; parts of it after the first have the kind key_body."""
+    line = text[lo:hi].rstrip("\r")
+    m = _OPEN_ASSIGNMENT.search(line[-240:])
+    if not m or not _named(m[1]):
+        return []
+    own: list[tuple[int, int]] = []
+    if m[2]:
+        indent, at = len(line) - len(line.lstrip(" \t-")), hi
+        while config and (b := _BLOCK_LINE.match(text, at)) and len(b[1]) > indent:
+            own.append((b.start(2), b.start(2) + len(b[2].rstrip())))
+            at = b.end()
+    else:
+        at = hi
+        while q := _NEXT_LITERAL.match(text, at):
+            group = next(i for i in (1, 2, 3) if q[i] is not None)
+            own.append((q.start(group), q.end(group)))
+            at = q.end()
+    if not own or not named_secret(m[1], "".join(text[a:b] for a, b in own)):
+        return []
+    return [(a, b, "password" if k == 0 else "key_body") for k, (a, b) in enumerate(own)]
+
+
 _RX = {k: re.compile(p) for k, p in DETECTORS.items()}
 _WORDS = ahocorasick.Automaton()
 for _w in literals_of(KEYWORDS):
@@ -222,9 +260,10 @@ def spans_of(text: str, path: str | None = None, detectors: tuple[str, ...] = tu
                 hi = text.find("\n", at)
                 hi = len(text) if hi == -1 else hi
                 done = hi
-                if _MAY_HOLD.search(text, lo, hi) is None or _RX[kind].search(text, lo, hi) is None:
+                if _RX[kind].search(text, lo, hi) is None:
                     continue
                 out += [(lo + a, lo + b, "password") for a, b, _ in _line_spans(text[lo:hi].rstrip("\r"), config)]
+                out += _later_lines(text, lo, hi, config)
         else:
             for m in rx.finditer(text):
                 group = "value" if m["value"] is not None else "other"

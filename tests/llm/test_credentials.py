@@ -85,3 +85,19 @@ def test_frame(spark):
     out = S.find_credentials(df.filter("chunk_id = '1'"), with_text=True).collect()
     assert len(out) == 1 and "REDACTED_PASSWORD" in out[0].redacted and "Ember777" not in out[0].redacted
     assert S.credential_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "path", "values"),
+    [
+        ('SECRET_KEY = (\n    "kq8Zp2vX"\n    "w0Lr5Tn1"\n)\n', "a.py", ["kq8Zp2vX", "w0Lr5Tn1"]),
+        ('{\n  "password":\n    "kq8Zp2vXw0"\n}', "a.json", ["kq8Zp2vXw0"]),
+        ("db:\n  password: >-\n    kq8Zp2vXw0\n  host: a1b2c3d4e5\n", "a.yaml", ["kq8Zp2vXw0"]),
+        ('password = "Hunter-Two!"', "a.py", ["Hunter-Two!"]),
+        ('"password": "48210937"', "a.json", ["48210937"]),
+        ('h = {"Authorization": "Bearer ' + "aB3x" * 2000 + '"}', "a.py", ["aB3x" * 2000]),
+        ('password = (\n    read_it("name")\n)\npassword = "correct"\npassword:\n  type: "string"\n', "a.py", []),
+    ],
+)
+def test_whole_values(text, path, values):
+    assert [text[a:b] for a, b, _ in S.spans_of(text, path)] == values
