@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ROUNDS = 12
 
 # classes of bytes
 SPACE, NEWLINE, WORD, DIGIT, SIGN = 0, 1, 2, 3, 4
@@ -21,10 +20,10 @@ _CLASS[48:58] = DIGIT
 for _lo, _hi in ((65, 91), (97, 123), (128, 256)):
     _CLASS[_lo:_hi] = WORD
 _CLASS[95] = WORD
-_LONGEST = 64
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(_LONGEST, 0x100000001B3, dtype=np.uint64))
+_BASE = np.uint64(0x100000001B3)
 NEWLINE_SYMBOL = np.uint64(10)
+#: Rounds of pairing of lines; a rule spans some (3/2) ** rounds lines.
+RULE_ROUNDS = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,11 +39,11 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * _M1 + mix(b + _M2))
 
 
-def tokenize(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, start, length) of the tokens of UTF-8 bytes: words, numbers, signs one by one, line breaks. Other space parts tokens and is none. All numbers are one symbol, and digits don't count in words, so that numbered names are equal."""
+def tokenize(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, exact, start, length) of the tokens of UTF-8 bytes: words, numbers, signs one by one, line breaks. Other space parts tokens and is none. All numbers are one symbol, and digits don't count in words, so that numbered names are equal; exact has the digits."""
     if not len(data):
         none = np.empty(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     kind = _CLASS[data]
     wordy = (kind == WORD) | (kind == DIGIT)
     first = np.empty(len(data), dtype=bool)
@@ -52,25 +51,26 @@ def tokenize(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[1:] = (kind[1:] != SPACE) & ~(wordy[1:] & wordy[:-1])
     start = np.flatnonzero(first)
     if not len(start):
-        return start.astype(np.uint64), start, start
+        return start.astype(np.uint64), start.astype(np.uint64), start, start
     ends = np.append(start[1:], len(data))
-    at = np.arange(len(data), dtype=np.int32)
-    place = at - np.repeat(start, ends - start)[: len(data)].astype(np.int32) if start[0] == 0 else at - np.concatenate([np.zeros(start[0], dtype=np.int32), np.repeat(start, ends - start).astype(np.int32)])
-    value = data.astype(np.uint64)
-    value[kind == DIGIT] = 48
-    value[kind == SPACE] = 0
+    lead = np.zeros(start[0], dtype=np.int32)
+    place = np.arange(len(data), dtype=np.int32) - np.concatenate([lead, np.repeat(start.astype(np.int32), ends - start)])
     with np.errstate(over="ignore"):
-        value *= _POWERS[np.minimum(place, _LONGEST - 1)]
-    value[kind == DIGIT] = 0
-    symbol = np.add.reduceat(value, start)
+        powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, dtype=np.uint64))
+        value = data * powers[place]
+        value[kind == SPACE] = 0
+        whole = np.add.reduceat(value, start)
+        value[kind == DIGIT] = 0
+        symbol = np.add.reduceat(value, start)
     number = kind[start] == DIGIT
     symbol[number] = 48
     sign = ~wordy[start]
-    symbol[sign] = data[start[sign]]
+    symbol[sign] = whole[sign] = data[start[sign]]
     words = ~(number | sign)
     symbol[words] = mix(symbol[words] + _M1)
+    whole[~sign] = mix(whole[~sign] + _M1)
     length = np.add.reduceat((kind != SPACE).astype(np.int64), start)
-    return symbol, start, length
+    return symbol, whole, start, length
 
 
 def _buckets(hashes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -103,13 +103,11 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(held == at), lost[np.unique(hashes[lost], return_index=True)[1]]])
 
 
-def repair(symbols: np.ndarray, owner: np.ndarray, n: int, rounds: int = _ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(grammar size, rules) of each of n sequences. owner: the sequence of each symbol, ascending. The size is the length of what is left plus two for each rule of the sequence. A sequence is done when a round would replace less than one in a hundred of its symbols, whatever the others do."""
+def repair(symbols: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grammar size, rules) of each of n sequences. owner: the sequence of each symbol, ascending. The size is the length of what is left plus two for each rule of the sequence. A sequence is done when no pair of it occurs twice, whatever the others do."""
     rules, left_over = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     s, o = symbols, owner
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         apart = np.flatnonzero(o[1:] != o[:-1])
         key = pair(s[:-1], s[1:])
         with np.errstate(over="ignore"):
@@ -117,18 +115,22 @@ def repair(symbols: np.ndarray, owner: np.ndarray, n: int, rounds: int = _ROUNDS
         own[apart] = np.arange(len(apart), dtype=np.uint64)  # no pair, and no two alike in practice
         often = counts(own)
         often[apart] = 0
-        # of overlapping pairs the more frequent is replaced; equals go by symbol, and of a run of one symbol the last
-        at = np.flatnonzero(often >= 2)
+        # in a run of one symbol pairs overlap their like: every other one of them may be replaced
+        first = np.concatenate([[True], own[1:] != own[:-1]])
+        starts = np.flatnonzero(first)
+        odd = ((np.arange(len(own)) - starts[np.cumsum(first) - 1]) & 1).astype(bool) if len(starts) < len(own) else None
+        # of other overlapping pairs the more frequent is replaced; equals go by symbol
+        at = np.flatnonzero((often >= 2) & ~odd) if odd is not None else np.flatnonzero(often >= 2)
+        if not len(at):
+            break
         here, mine = often[at], key[at]
         left, right = np.maximum(at - 1, 0), np.minimum(at + 1, len(key) - 1)
-        rank_left, rank_right = np.where(at > 0, often[left], -1), np.where(at < len(key) - 1, often[right], -1)
-        take = ((here > rank_left) | (here == rank_left) & (mine >= key[left])) & ((here > rank_right) | (here == rank_right) & (mine > key[right]))
-        chosen = at[take]
+        over = lambda near: (here > often[near]) | (here == often[near]) & (mine >= key[near])
+        chosen = at[over(left) & over(right)]
+        chosen = chosen[counts(own[chosen]) >= 2]  # a rule that is used once makes no grammar smaller
         size = np.bincount(o, minlength=n)
-        replaced = np.bincount(o[chosen], minlength=n)
-        going = (replaced > 0) & (replaced * 100 >= size)
+        going = np.bincount(o[chosen], minlength=n) > 0
         left_over += np.where(going, 0, size)
-        chosen = chosen[going[o[chosen]]]
         rules += np.bincount(o[chosen[distinct(own[chosen])]], minlength=n)
         s = s.copy()
         s[chosen] = key[chosen]
@@ -156,25 +158,27 @@ def line_symbols(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
     return mix(spelled), o[first], sizes
 
 
-def phrases(lines: np.ndarray, owner: np.ndarray, tokens: np.ndarray, levels: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, owner, tokens) of the phrases that the lines of each sequence are parsed into: blocks that end before each line whose symbol is lower than both neighbours', on each level.
+def corpus_rules(lines: np.ndarray, owner: np.ndarray, tokens: np.ndarray, rounds: int = RULE_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, owner, tokens) of the rules that the lines of each sequence are pairs of pairs of in a grammar that all sequences of a corpus share.
 
-    Where a block ends depends on the text around only, so equal runs of lines are parsed alike wherever they occur, and a changed
-    line changes no phrase but those it is in or beside: these are the rules that a grammar of the whole corpus would share.
+    Re-Pair over the whole corpus would replace pairs by how often the corpus has them, which no sequence knows. Here each pair has
+    a rank that is the same everywhere (its own symbol), and in each round the pairs that outrank both pairs they overlap are
+    replaced. So equal runs of lines become equal rules wherever they occur, a changed line changes only the rules that hold it or
+    end beside it, and which rules are of use (held by several sequences) is counted over the corpus afterwards.
     """
     s, o, w = lines, owner, tokens
-    for _ in range(levels):
-        n = len(s)
-        if n < 2:
+    for _ in range(rounds):
+        if len(s) < 2:
             break
-        edge = np.concatenate([[True], o[1:] != o[:-1]])
-        low = np.zeros(n, dtype=bool)
-        if n > 2:
-            low[1:-1] = (s[1:-1] < s[:-2]) & (s[1:-1] <= s[2:]) & (o[1:-1] == o[:-2]) & (o[1:-1] == o[2:])
-        first = np.flatnonzero(edge | low)
-        sizes = np.diff(np.append(first, n))
-        place = np.arange(n) - np.repeat(first, sizes)
-        with np.errstate(over="ignore"):
-            joined = np.add.reduceat(mix(s + place.astype(np.uint64) * _M1), first)
-        s, o, w = mix(joined), o[first], np.add.reduceat(w, first)
+        key = pair(s[:-1], s[1:])
+        inside = o[1:] == o[:-1]
+        rank = np.where(inside, key, np.uint64(0))
+        below, above = np.concatenate([[np.uint64(0)], rank[:-1]]), np.concatenate([rank[1:], [np.uint64(0)]])
+        chosen = np.flatnonzero(inside & (rank > below) & (rank >= above))
+        s, w = s.copy(), w.copy()
+        s[chosen] = key[chosen]
+        w[chosen] += w[chosen + 1]
+        keep = np.ones(len(s), dtype=bool)
+        keep[chosen + 1] = False
+        s, o, w = s[keep], o[keep], w[keep]
     return s, o, w

@@ -1,9 +1,10 @@
 """Files that nobody on the project wrote by hand: generated, minified, vendored, or bulk data stored as source.
 
-A file's chunks are brought together once and its grammar inferred (grammar.py): rules that are used again and again with numbers
-that count up make a generated file; lines that are all one rule with nothing but literals in its slots make bulk data; and rules
-that a file shares with files of other repositories which are marked as third-party make a vendored copy. Paths and opening
-comments that say what a file is count too.
+A file's chunks are brought together once and Re-Pair grammars inferred of its tokens, of its tokens with every literal as one
+symbol (its skeleton), and of its literals alone (grammar.py). They decide: a grammar much smaller than what files of this size
+and language have means that rules are used again and again, as a generator does; a file of little but literals that no rule
+shortens is a blob, and a skeleton of few rules with literals in their slots is a table; and rules of the grammar that all files
+share which are held by several repositories are vendored code. Paths and opening comments that say what a file is only add.
 """
 
 from __future__ import annotations
@@ -31,41 +32,47 @@ GENERATED_PATH = re.compile(
 MINIFIED_PATH = re.compile(r"(?i)(?:[.-]min|\.bundle|\.chunk|\.prod|[.-]es5|\.packed)\.(?:js|mjs|cjs|css)$")
 #: How an opening comment says that a file is generated. The comment starts with it; a comment about generators doesn't.
 BANNER = re.compile(
-    r"(?i)^\W{0,8}(?:@generated\b|auto-?generated\b|<auto-?generated|code generated by\b|(?:this|the) (?:file|code|module|class) (?:was|is|has been) (?:automatically |auto-?|machine )?(?:generated|made|created) (?:by|from)|this (?:file|is) (?:is )?(?:an? )?(?:auto-?|automatically |machine )?generated\b|"
-    r"machine[- ](?:made|generated) |generated (?:from|by|accessor|code|file|automatically)\b|do not (?:edit|modify)\b|automatically generated\b)"
+    r"(?i)^\W{0,8}(?:@generated\b|<?auto-?generated\b|(?:code )?(?:automatically |machine[- ])?generated (?:by|from|automatically|with|using)\b|automatically generated\b|machine[- ]made\b|"
+    r"(?:this|the) (?:file|code|module|class)(?: (?:was|is|has been))? (?:an? )?(?:automatically |auto-?|machine[- ])?(?:generated|created)\b)"
 )
-THIRD_PARTY = re.compile(r"(?i)\bthird-party copy\b|\bvendored (?:copy|from)\b|\bcopied verbatim from\b|^\W{0,8}\w+ v?\d+\.\d+\.\d+ - .*\bupstream\b")
-MARKER = re.compile(r"(?im)^[ \t]*(?://|#|--|/\*+|\*|;|\"\"\"|''')[ \t]*(?:@generated\b|(?:auto-?|code )?generated by\b|generated (?:accessor|from field|from the schema)\b)[^\n]{0,80}$")
+#: How an opening comment says that a file is somebody else's: that it's a copy, or a library's name and version with its licence or source.
+THIRD_PARTY = re.compile(r"(?i)^\W{0,8}third[- ]party (?:copy|code|library|source|file)\b|\bvendored (?:copy|from)\b|\bcopied verbatim from\b|^\W{0,8}@?[\w./-]+ (?:version )?v?\d+\.\d+\.\d+\b.*(?:\bupstream\b|\blicen[cs]ed?\b|https?://)")
+#: Comments by which generators mark what they wrote inside of a file.
+MARKER = re.compile(r"(?im)^[ \t]*(?://|#|--|/\*+|\*|;|\"\"\"|''')[ \t]*(?:@generated\b|(?:auto-?|code )?generated (?:by|from)\b)[^\n]{0,80}$")
 BUNDLER = re.compile(r"/\*\*\*\*\*\*/|/\*\*\*/ |__webpack_require__|\bparcelRequire\b|//[#@] sourceMappingURL=")
 COMMENT_LINE = re.compile(r"^\s*(?://|#|--|/\*|<!--|\*|;|%|\"\"\"|''')")
 
-#: A segment of a file by its lines, so that no file is one group of any size.
+#: A segment of a file by its lines, so that no file is one group of any size, and the bytes of a piece of a segment, cut at a
+#: line's end. All features are sums over pieces, and what is expected of a grammar goes by the size of each piece.
 LINES_PER_SEGMENT = 50_000
-#: The longest part of a file that has a grammar of its own, in bytes.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
+#: Groups that rows without a repository, path or line are spread over, since they say nothing of a file.
+LOOSE = 256
 #: Bytes of files that are worked on at once at least, few enough for their arrays to stay in a processor's cache.
 BATCH = 1 << 20
-#: Phrases of fewer tokens say nothing about where code comes from.
-LEAST_PHRASE = 12
+#: Rules of fewer tokens say nothing about where code comes from.
+LEAST_RULE = 12
 
 #: Decisions, all on sums over a file's parts.
-REUSE = 0.65  # grammar size to tokens, of a file whose numbered rules count up
-ORDINAL_STEPS = 4  # steps by one of numbered names
-ORDINAL_SHARE = 0.9
-MINIFIED_LINE, MINIFIED_SPACE = 250, 0.1  # characters a line, share of space
-DATA_CODE, DATA_LITERAL = 0.08, 0.45  # shares of a file's text in words of code and in literals
-ROW_SHARE, ROW_LINES, ROW_LITERAL = 0.8, 6, 0.25
-COPY_SHARE, COPY_TOKENS = 0.5, 60
+REUSE = 0.7  # grammar size to what is expected at this size and language
+MINIFIED_LINE, MINIFIED_SPACE, MINIFIED_CODE = 250, 0.1, 0.08  # characters a line, shares of space and of words of code
+BLOB_CODE, BLOB_LITERAL, BLOB_GRAMMAR = 0.12, 0.45, 0.85  # shares of words of code and of literals, grammar size to tokens of the literals
+TABLE_REUSE, TABLE_LITERAL = 0.6, 0.25  # the skeleton's grammar to what is expected, share of literals
+COPY_SHARE, COPY_TOKENS = 0.4, 60  # share of a file's rules that other repositories hold, and their tokens
 LEAST_BYTES = 200
+#: What a grammar is expected to have: the median over all pieces of its size, and over all files of its language, each drawn to a
+#: fixed one by so many pieces or files, so that small corpora are judged too. The fixed one is that of code written by hand.
+SIZE_WEIGHT, LANGUAGE_WEIGHT = 20, 5
 
-COUNTS = ("parts", "bytes", "lines", "spaces", "tokens", "grammar", "weight", "code", "literal", "rows", "row_lines", "steps", "ups", "markers", "banner", "third_party", "bundler")
-FEATURES = "repo_id string, file_path string, " + ", ".join(f"{c} long" for c in COUNTS) + ", phrases array<struct<symbol: long, tokens: int>>"
-_PHRASE = pa.struct([("symbol", pa.int64()), ("tokens", pa.int32())])
-_ARROW = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), *((c, pa.int64()) for c in COUNTS), ("phrases", pa.list_(_PHRASE))])
+COUNTS = ("bytes", "lines", "spaces", "tokens", "grammar", "weight", "code", "literal", "skeleton", "skeleton_grammar", "literals", "literal_grammar", "rule_tokens", "markers", "banner", "third_party", "bundler")
+FEATURES = "repo_id string, file_path string, segment long, " + ", ".join(f"{c} long" for c in COUNTS) + ", rules array<struct<symbol: long, tokens: int>>"
+_RULE = pa.struct([("symbol", pa.int64()), ("tokens", pa.int32())])
+_ARROW = pa.schema([("repo_id", pa.string()), ("file_path", pa.string()), ("segment", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("rules", pa.list_(_RULE))])
 
 _OPAQUE = np.isin(np.arange(256), [43, 47, 61, *range(48, 58), *range(65, 91), *range(97, 123)])
 _OPAQUE_RUN = 60
 _QUOTES = (34, 39, 96)
+_LITERAL = np.uint64(7)
 
 
 def _opaque_bytes(data: np.ndarray) -> np.ndarray:
@@ -79,64 +86,19 @@ def _opaque_bytes(data: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def _ordinals(data: np.ndarray, start: np.ndarray, length: np.ndarray, symbol: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, ups): of names that differ in their number only, how often one follows another in a part, and how often the number stays or goes up by one there. Steps that go up count once for ups in steps by one."""
-    digit = (data >= 48) & (data <= 57)
-    at = np.flatnonzero(digit)
-    if not len(at):
-        return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    token = np.searchsorted(start, at, side="right") - 1
-    named = symbol[token] != 48
-    at, token = at[named], token[named]
-    if not len(at):
-        return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    value = np.zeros(len(start), dtype=np.int64)
-    last = np.concatenate([token[1:] != token[:-1], [True]])
-    group = np.cumsum(np.concatenate([[0], last[:-1].astype(np.int64)]))
-    place = np.flatnonzero(last)[group] - np.arange(len(at))
-    fits = place < 9
-    np.add.at(value, token[fits], (data[at[fits]].astype(np.int64) - 48) * 10 ** place[fits])
-    named_tokens = np.unique(token)
-    order = np.lexsort((named_tokens, symbol[named_tokens], owner[named_tokens]))
-    t = named_tokens[order]
-    alike = (symbol[t][1:] == symbol[t][:-1]) & (owner[t][1:] == owner[t][:-1])
-    move = value[t][1:] - value[t][:-1]
-    steps = np.bincount(owner[t][1:][alike & (move != 0)], minlength=n)
-    ups = np.bincount(owner[t][1:][alike & (move == 1)], minlength=n)
-    return steps, ups
-
-
-def _rows(kinds: np.ndarray, owner: np.ndarray, newline: np.ndarray, literal: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lines of the commonest shape, lines) of each part. A shape is a line without what its literals and words are; it counts if it has three literals or more."""
-    line = np.cumsum(newline) + np.concatenate([[0], np.cumsum(owner[1:] != owner[:-1])])
-    body = ~newline
-    if not body.any():
-        return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    s, o, line, lit = kinds[body], owner[body], line[body], literal[body]
-    # neighbouring literals are one
-    keep = ~(lit & np.concatenate([[False], lit[:-1] & (line[1:] == line[:-1])]))
-    s, o, line, lit = s[keep], o[keep], line[keep], lit[keep]
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    place = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
-    with np.errstate(over="ignore"):
-        shape = g.mix(np.add.reduceat(g.mix(s.astype(np.uint64) + place.astype(np.uint64) * np.uint64(1_000_003)), first))
-    own = o[first]
-    enough = np.add.reduceat(lit.astype(np.int64), first) >= 3
-    lines = np.bincount(own, minlength=n)
-    top = np.zeros(n, dtype=np.int64)
-    if enough.any():
-        with np.errstate(over="ignore"):
-            key = g.mix(shape[enough] ^ g.mix(own[enough].astype(np.uint64)))
-        _, index, counts = np.unique(key, return_index=True, return_counts=True)
-        np.maximum.at(top, own[enough][index], counts)
-    return top, lines
+def _merged(symbols: np.ndarray, owner: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The skeleton of each sequence: neighbouring literals are one symbol, whatever they say."""
+    keep = np.ones(len(symbols), dtype=bool)
+    keep[1:] = ~(literal[1:] & literal[:-1] & (owner[1:] == owner[:-1]))
+    return np.where(literal, _LITERAL, symbols)[keep], owner[keep]
 
 
 class _Part:
-    __slots__ = ("repo", "path", "text", "banner", "third", "markers", "bundler", "counts_first")
+    __slots__ = ("repo", "path", "segment", "text", "banner", "third", "markers", "bundler")
 
-    def __init__(self, repo: str | None, path: str | None, text: bytes, signs: tuple[int, int, int, int]) -> None:
-        self.repo, self.path, self.text = repo, path, text
+    def __init__(self, key: tuple, text: bytes, signs: tuple[int, int, int, int]) -> None:
+        self.repo, self.path, self.segment, _ = key
+        self.text = text
         self.banner, self.third, self.markers, self.bundler = signs
 
 
@@ -189,9 +151,9 @@ def _features(parts: list[_Part]) -> pa.RecordBatch:
     n = len(parts)
     data = np.frombuffer(b"\n".join(p.text for p in parts) + b"\n", dtype=np.uint8)
     offsets = np.cumsum([0] + [len(p.text) + 1 for p in parts])
-    symbol, start, length = g.tokenize(data)
+    symbol, exact, start, length = g.tokenize(data)
     owner = np.searchsorted(offsets, start, side="right") - 1
-    size, _ = g.repair(symbol, owner, n)
+    grammar, _ = g.repair(symbol, owner, n)
     newline = symbol == g.NEWLINE_SYMBOL
     quote = np.isin(symbol, np.array(_QUOTES, dtype=np.uint64))
     # inside quotes: an odd number of quotes before, in the line
@@ -205,41 +167,51 @@ def _features(parts: list[_Part]) -> pa.RecordBatch:
     wordy = symbol > 255
     literal = (quoted | number | in_opaque) & ~newline
     code = wordy & ~literal
+    said = literal & (wordy | number)
     weigh = lambda mask: np.bincount(owner[mask], weights=length[mask], minlength=n).astype(np.int64)
-    kinds = np.where(literal, 1, np.where(wordy, 2, symbol)).astype(np.uint64)
-    rows, row_lines = _rows(kinds, owner, newline, literal, n)
-    steps, ups = _ordinals(data, start, length, symbol, owner, n)
+    skeleton, skeleton_owner = _merged(symbol, owner, literal)
+    skeleton_grammar, _ = g.repair(skeleton, skeleton_owner, n)
+    literal_grammar, _ = g.repair(exact[said], owner[said], n)
     spaces = np.add.reduceat((g._CLASS[data] <= g.NEWLINE).astype(np.int64), offsets[:-1]) - 1
-    lines, line_owner, line_tokens = g.line_symbols(symbol, owner)
-    ps, po, pt = g.phrases(lines, line_owner, line_tokens, 1)
-    long = pt >= LEAST_PHRASE
+    ps, po, pt = g.corpus_rules(*g.line_symbols(symbol, owner))
+    long = pt >= LEAST_RULE
     ps, po, pt = ps[long], po[long], pt[long]
     bounds = np.searchsorted(po, np.arange(n + 1))
     values = {
-        "parts": np.ones(n, dtype=np.int64),
         "bytes": np.diff(offsets) - 1,
         "lines": np.bincount(owner[newline], minlength=n),
         "spaces": spaces,
         "tokens": np.bincount(owner, minlength=n),
-        "grammar": size,
+        "grammar": grammar,
         "weight": weigh(~newline),
         "code": weigh(code),
         "literal": weigh(literal),
-        "rows": rows,
-        "row_lines": row_lines,
-        "steps": steps,
-        "ups": ups,
+        "skeleton": np.bincount(skeleton_owner, minlength=n),
+        "skeleton_grammar": skeleton_grammar,
+        "literals": np.bincount(owner[said], minlength=n),
+        "literal_grammar": literal_grammar,
+        "rule_tokens": np.bincount(po, weights=pt, minlength=n).astype(np.int64),
         "markers": [p.markers for p in parts],
         "banner": [p.banner for p in parts],
         "third_party": [p.third for p in parts],
         "bundler": [p.bundler for p in parts],
     }
-    phrases = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(ps.view(np.int64)), pa.array(pt.astype(np.int32))], fields=list(_PHRASE)))
-    return pa.RecordBatch.from_arrays([pa.array([p.repo for p in parts], pa.string()), pa.array([p.path for p in parts], pa.string()), *(pa.array(np.asarray(values[c], dtype=np.int64)) for c in COUNTS), phrases], schema=_ARROW)
+    rules = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(ps.view(np.int64)), pa.array(pt.astype(np.int32))], fields=list(_RULE)))
+    return pa.RecordBatch.from_arrays([pa.array([p.repo for p in parts], pa.string()), pa.array([p.path for p in parts], pa.string()), pa.array([p.segment for p in parts], pa.int64()), *(pa.array(np.asarray(values[c], dtype=np.int64)) for c in COUNTS), rules], schema=_ARROW)
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(raw) - at > BLOCK:
+        end = raw.rfind(b"\n", at, at + BLOCK) + 1
+        end = end if end > at else at + BLOCK
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of the files in sorted rows (repo_id, file_path, segment, start_line, content): one pass that holds a segment and a block at a time."""
+    """Features of the files in rows that come by file and line (repo_id, file_path, segment, loose, start_line, content): one pass that holds a segment and a block at a time."""
     parts: list[_Part] = []
     held = 0
     key = None
@@ -248,14 +220,14 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> Iterator[_Part]:
         text = "\n".join(texts)
-        raw = text.encode()
         signs = _signs(text, opens)
-        for i in range(0, max(1, len(raw)), BLOCK):
-            yield _Part(key[0], key[1], raw[i : i + BLOCK], signs if i == 0 else (0, 0, 0, 0))
+        for i, raw in enumerate(_pieces(text.encode("utf-8", "replace"))):
+            # a mark of the first piece holds for all, whose rules are a library's then; other signs are counted once
+            yield _Part(key, raw, signs if i == 0 else (0, signs[1], 0, 0))
 
     for batch in batches:
-        for repo, path, segment, line, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (repo, path, segment) != key:
+        for repo, path, segment, loose, line, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (repo, path, segment, loose) != key:
                 if key is not None:
                     for p in close():
                         parts.append(p)
@@ -263,7 +235,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if held >= BATCH:
                             yield _features(parts)
                             parts, held = [], 0
-                key, texts, opens = (repo, path, segment), [], line is None or line <= 3
+                key, texts, opens = (repo, path, segment, loose), [], line is None or line <= 3
             texts.append(text.replace("\r\n", "\n") if "\r" in text else text)
     if key is not None:
         parts += close()
@@ -272,50 +244,105 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def file_features(chunks: DataFrame) -> DataFrame:
-    """Sums and phrases of each segment of each file (FEATURES). Repeated rows count once: they meet on their whole key, after each task has dropped its own, so that many copies of a row are no hot group. Then a file's segments are brought together in order."""
+    """Sums and rules of each piece of each file (FEATURES). Texts are moved once: a segment's rows meet as a set, which tasks build of their own rows first, so that repeated rows count once and many copies of one are no hot group. Rows without a repository, path or line are spread by their text."""
     rows = strip_clash(chunks, {c: c for c in ("repo_id", "file_path", "start_line", "content")}).filter(F.length("content") > 0)
-    rows = rows.withColumn("digest", F.xxhash64("content")).dropDuplicates(["repo_id", "file_path", "start_line", "digest"])
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("start_line") / LINES_PER_SEGMENT), F.lit(0)).cast("long"))
-    placed = rows.repartition("repo_id", "file_path", "segment").sortWithinPartitions("repo_id", "file_path", "segment", "start_line", "digest")
-    return placed.select("repo_id", "file_path", "segment", "start_line", "content").mapInArrow(_read_files, FEATURES)
+    unplaced = F.col("repo_id").isNull() | F.col("file_path").isNull() | F.col("start_line").isNull()
+    rows = rows.withColumns({"segment": F.coalesce(F.floor(F.col("start_line") / LINES_PER_SEGMENT), F.lit(0)).cast("long"), "loose": F.when(unplaced, F.pmod(F.xxhash64("content"), F.lit(LOOSE))).otherwise(F.lit(0)).cast("int")})
+    files = rows.groupBy("repo_id", "file_path", "segment", "loose").agg(F.array_sort(F.collect_set(F.struct("start_line", "content"))).alias("rows"))
+    placed = files.select("repo_id", "file_path", "segment", "loose", F.inline("rows"))
+    return placed.mapInArrow(_read_files, FEATURES)
 
 
 def _path_like(pattern: re.Pattern) -> Column:
     return F.coalesce(F.translate("file_path", "\\", "/").rlike(pattern.pattern), F.lit(False))
 
 
-def file_reasons(chunks: DataFrame) -> DataFrame:
+def _usual(tokens: Column) -> Column:
+    """Grammar size to tokens of code written by hand, by its length."""
+    return F.greatest(F.lit(0.4), 1 / (1 + F.pow(tokens / 1100, F.lit(0.85))))
+
+
+def _size(tokens: Column) -> Column:
+    """Half powers of two."""
+    return F.floor(2 * F.log2(F.greatest(tokens, F.lit(1)))).cast("int")
+
+
+def _expected(features: DataFrame) -> DataFrame:
+    """features with expected and skeleton_expected: the grammar sizes usual for pieces of that size."""
+    one = lambda kind, size, grammar: F.struct(F.lit(kind).alias("kind"), _size(F.col(size)).alias("size"), (F.col(grammar) / F.col(size)).alias("ratio"))
+    ratios = features.filter("tokens > 0").select(F.inline(F.array(one(0, "tokens", "grammar"), one(1, "skeleton", "skeleton_grammar"))))
+    medians = ratios.groupBy("kind", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("n"))
+    out = features
+    for kind, size, name in ((0, "tokens", "expected"), (1, "skeleton", "skeleton_expected")):
+        # a row for each half power of two that occurs, so never more than 128
+        here = medians.filter(F.col("kind") == kind).select(F.col("size").alias("_size"), F.col("median").alias("_median"), F.col("n").alias("_n"))
+        out = out.withColumn("_size", _size(F.col(size))).join(F.broadcast(here), "_size", "left")
+        n = F.coalesce("_n", F.lit(0))
+        ratio = (n * F.coalesce("_median", F.lit(0.0)) + SIZE_WEIGHT * _usual(F.col(size))) / (n + SIZE_WEIGHT)
+        out = out.withColumn(name, F.col(size) * ratio).drop("_size", "_median", "_n")
+    return out
+
+
+def _by_language(sums: DataFrame) -> DataFrame:
+    """sums with reuse and skeleton_reuse: grammar sizes to those expected at this size and language. A language whose files have smaller grammars than others is judged by its own; one whose files have larger ones by all."""
+    name = F.regexp_extract(F.lower(F.coalesce("file_path", F.lit(""))), r"\.(\w+)$", 1)
+    rel = sums.withColumns({"language": name, "reuse": F.col("grammar") / F.greatest("expected", F.lit(1e-9)), "skeleton_reuse": F.col("skeleton_grammar") / F.greatest("skeleton_expected", F.lit(1e-9))})
+    known = rel.filter("tokens > 0").groupBy("language").agg(F.count(F.lit(1)).alias("_n"), *(F.percentile_approx(c, 0.5, 1000).alias(f"_{c}") for c in ("reuse", "skeleton_reuse")))
+    own = lambda c: F.least(F.lit(1.0), (F.col("_n") * F.col(f"_{c}") + LANGUAGE_WEIGHT) / (F.col("_n") + LANGUAGE_WEIGHT))
+    factors = known.select("language", own("reuse").alias("_reuse"), own("skeleton_reuse").alias("_skeleton"))
+    joined = rel.join(factors, "language", "left")
+    return joined.withColumns({"reuse": F.col("reuse") / F.coalesce("_reuse", F.lit(1.0)), "skeleton_reuse": F.col("skeleton_reuse") / F.coalesce("_skeleton", F.lit(1.0))}).drop("_reuse", "_skeleton", "language")
+
+
+def _copies(features: DataFrame, files: DataFrame, marks: bool) -> DataFrame:
+    """file, check of files of which enough lies in rules that several repositories hold, or that a file marked as a third party's holds.
+
+    The repositories of a rule are counted by the least and the greatest of them, which tasks find for their own rows first; then
+    files' rules meet the shared ones one to one, however often either occurs. No pair of files is built.
+    """
+    key = (F.xxhash64("repo_id", "file_path").alias("file"), F.hash("file_path", "repo_id").alias("check"))
+    marked = _path_like(VENDOR_PATH) | (F.col("third_party") > 0) if marks else F.lit(False)
+    held = features.select(F.xxhash64("repo_id").alias("repo"), marked.alias("marked"), F.explode("rules.symbol").alias("symbol"))
+    if marks:
+        # a mark stands in a file's first segment and holds for all; files of several segments are few
+        later = features.filter("segment > 0").select(*key, F.xxhash64("repo_id").alias("repo"), "rules")
+        later = later.join(files.filter("marked").select("file", "check"), ["file", "check"], "left_semi")
+        held = held.unionAll(later.select("repo", F.lit(True), F.explode("rules.symbol")))
+    shared = held.groupBy("symbol").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.max("marked").alias("marked"))
+    shared = shared.filter((F.col("low") != F.col("high")) | F.col("marked")).select("symbol")
+    own = features.select(*key, F.explode("rules").alias("r")).select("file", "check", F.col("r.symbol").alias("symbol"), F.col("r.tokens").alias("tokens"))
+    met = own.join(shared, "symbol", "left_semi").groupBy("file", "check").agg(F.sum("tokens").alias("shared")).filter(F.col("shared") >= COPY_TOKENS)
+    return met
+
+
+def file_reasons(chunks: DataFrame, marks: bool = True) -> DataFrame:
     """repo_id, file_path, reasons of each file that isn't hand-written: generated, minified, vendored, data.
 
-    A null repo_id or file_path is a key like others; a null path says nothing. Rows with null or empty content add nothing, files of
-    such rows alone can't be judged and are none. Chunks of a file may overlap or have gaps. Empty tables give an empty result,
-    other columns are ignored. The files' features are written to the shared folder, since they're used three times.
+    marks: whether paths and comments that say what a file is count too; without them the grammars alone decide. Code that lies in
+    several repositories is vendored in all of them, since nothing tells where it is at home. A null repo_id or file_path is a key
+    like others; a null path says nothing. Rows with null or empty content add nothing, files of such rows alone can't be judged
+    and are none. Chunks of a file may overlap or have gaps. Empty tables give an empty result, other columns are ignored. The
+    files' features are written to the shared folder, since they're used several times.
     """
     features = materialize(file_features(chunks))
-    sums = features.groupBy("repo_id", "file_path").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    sums = _expected(features.drop("rules")).groupBy("repo_id", "file_path").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "expected", "skeleton_expected")))
+    sums = _by_language(sums)
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     big = F.col("bytes") >= LEAST_BYTES
-    counted = (F.col("ups") >= ORDINAL_STEPS) & (share("ups", "steps") >= ORDINAL_SHARE) & (share("grammar", "tokens") <= REUSE)
-    generated = _path_like(GENERATED_PATH) | (F.col("banner") > 0) | (F.col("markers") >= 2) | ((F.col("markers") >= 1) | big) & counted
-    minified = _path_like(MINIFIED_PATH) | big & (share("bytes", "lines") >= MINIFIED_LINE) & (share("spaces", "bytes") <= MINIFIED_SPACE) & (share("code", "weight") > DATA_CODE) | (F.col("bundler") >= 3)
-    dense = (share("code", "weight") <= DATA_CODE) & (share("literal", "weight") >= DATA_LITERAL)
-    tabular = (F.col("row_lines") >= ROW_LINES) & (share("rows", "row_lines") >= ROW_SHARE) & (share("literal", "weight") >= ROW_LITERAL)
-    data = big & (dense | tabular)
-    marked = _path_like(VENDOR_PATH) | (F.col("third_party") > 0)
-    file = (F.xxhash64("repo_id", "file_path").alias("file"), F.hash("file_path", "repo_id").alias("check"))
-    judged = sums.select("repo_id", "file_path", "tokens", generated.alias("generated"), minified.alias("minified"), data.alias("data"), marked.alias("marked"), *file)
-
-    # phrases of marked files, each once; a file's phrases meet them one to one, however often either occurs
-    # a file's mark stands in one of its parts and holds for all of them; files of several parts are few, and their keys short
-    third = _path_like(VENDOR_PATH) | (F.col("third_party") > 0)
-    large = sums.filter((F.col("third_party") > 0) & (F.col("parts") > 1)).select(*file, F.lit(True).alias("large"))
-    parts = features.select(*file, third.alias("third"), "phrases").join(F.broadcast(large), ["file", "check"], "left")
-    library = parts.filter(F.col("third") | F.col("large")).select(F.explode("phrases.symbol").alias("symbol")).distinct()
-    own = features.filter(~_path_like(VENDOR_PATH) & ~_path_like(GENERATED_PATH) & ~_path_like(MINIFIED_PATH)).select(*file, F.explode("phrases").alias("p")).select("file", "check", F.col("p.symbol").alias("symbol"), F.col("p.tokens").alias("tokens"))
-    shared = own.join(library, "symbol", "left_semi").groupBy("file", "check").agg(F.sum("tokens").alias("shared"))
-    phrased = features.select(*file, F.aggregate("phrases.tokens", F.lit(0).cast("long"), lambda a, t: a + t).alias("n")).groupBy("file", "check").agg(F.sum("n").alias("phrased"))
-    copies = shared.filter(F.col("shared") >= COPY_TOKENS).join(phrased, ["file", "check"]).filter(F.col("shared") >= COPY_SHARE * F.col("phrased")).select("file", "check", F.lit(True).alias("copy"))
-    found = judged.join(copies, ["file", "check"], "left")
-    vendored = F.col("marked") | F.coalesce("copy", F.lit(False))
+    said = lambda c: c if marks else F.lit(False)
+    minified = big & (share("bytes", "lines") >= MINIFIED_LINE) & (share("spaces", "bytes") <= MINIFIED_SPACE) & (share("code", "weight") > MINIFIED_CODE)
+    minified = minified | said(_path_like(MINIFIED_PATH) | (F.col("bundler") >= 3))
+    literals = share("literal", "weight")
+    blob = (share("code", "weight") <= BLOB_CODE) & (literals >= BLOB_LITERAL) & (share("literal_grammar", "literals") >= BLOB_GRAMMAR)
+    # a language whose files are mostly tables doesn't make those less so that are mostly literals
+    rows = (F.col("skeleton_reuse") <= TABLE_REUSE) & (literals >= TABLE_LITERAL) | (F.col("skeleton_grammar") <= TABLE_REUSE * F.col("skeleton_expected")) & (literals >= BLOB_LITERAL)
+    data = big & (blob | rows)
+    generated = big & (F.col("reuse") <= REUSE) & (share("bytes", "lines") < MINIFIED_LINE) & ~data
+    generated = generated | said(_path_like(GENERATED_PATH) | (F.col("banner") > 0) | (F.col("markers") >= 2))
+    marked = said(_path_like(VENDOR_PATH) | (F.col("third_party") > 0))
+    key = (F.xxhash64("repo_id", "file_path").alias("file"), F.hash("file_path", "repo_id").alias("check"))
+    judged = sums.select("repo_id", "file_path", "rule_tokens", generated.alias("generated"), minified.alias("minified"), data.alias("data"), marked.alias("marked"), *key)
+    found = judged.join(_copies(features, judged, marks), ["file", "check"], "left")
+    vendored = F.col("marked") | F.coalesce(F.col("shared") >= COPY_SHARE * F.col("rule_tokens"), F.lit(False))
     reasons = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in (("generated", F.col("generated")), ("minified", F.col("minified")), ("vendored", vendored), ("data", F.col("data"))))))
     return found.select("repo_id", "file_path", reasons.alias("reasons")).filter(F.size("reasons") > 0)

@@ -85,20 +85,67 @@ def test_repetition_shrinks():
 
 def test_tokens():
     data = np.frombuffer("a1 = foo_2(12, 'é')\n b".encode(), dtype=np.uint8)
-    symbol, start, length = G.tokenize(data)
+    symbol, exact, start, length = G.tokenize(data)
     words = [bytes(data[s : s + n]).decode(errors="replace") for s, n in zip(start, length, strict=True)]
     assert words == ["a1", "=", "foo_2", "(", "12", ",", "'", "é", "'", ")", "\n", "b"]
-    other, _, _ = G.tokenize(np.frombuffer(b"a7 = foo_9", dtype=np.uint8))
-    assert list(other) == list(symbol[:3])
+    other, whole, _, _ = G.tokenize(np.frombuffer(b"a7 = foo_9", dtype=np.uint8))
+    assert list(other) == list(symbol[:3]) and whole[1] == exact[1] and whole[0] != exact[0] and whole[2] != exact[2]
+    long = [G.tokenize(np.frombuffer(b"a" * 80 + end, dtype=np.uint8))[0][0] for end in (b"bc", b"cb")]
+    assert long[0] != long[1]
 
 
-def test_phrases_survive_a_changed_line():
+def test_shared_rules_survive_a_changed_line():
     def parsed(text):
-        s, st_, _ = G.tokenize(np.frombuffer(text.encode(), dtype=np.uint8))
-        return set(G.phrases(*G.line_symbols(s, np.zeros(len(s), dtype=int)), 1)[0].tolist())
+        s = G.tokenize(np.frombuffer(text.encode(), dtype=np.uint8))[0]
+        symbols, _, tokens = G.corpus_rules(*G.line_symbols(s, np.zeros(len(s), dtype=int)))
+        assert tokens.sum() == (s != G.NEWLINE_SYMBOL).sum()
+        return dict(zip(symbols.tolist(), tokens.tolist(), strict=True))
 
-    a, b = parsed(LIBRARY), parsed(CHANGED)
-    assert len(a & b) >= len(a) - 3
+    a, b, inside = parsed(LIBRARY), parsed(CHANGED), parsed(hand(30) + "\n" + LIBRARY + "\n" + hand(30))
+    for other in (b, inside):
+        assert sum(a[s] for s in a.keys() & other.keys()) >= 0.6 * sum(a.values())
+
+
+def test_long_runs_are_done_soon():
+    for q in ([300] * 100_000, [300, 301] * 50_000, [300, 301, 302] * 30_000):
+        s = np.array(q, dtype=np.uint64)
+        assert G.repair(s, np.zeros(len(s), dtype=int), 1)[0][0] < 80
+
+
+COPIED = {("r5", "src/one.js"): hand(60), ("r6", "core/two.js"): None, ("r5", "src/mine.js"): hand(60), ("r6", "src/theirs.js"): hand(60)}
+COPIED["r6", "core/two.js"] = COPIED["r5", "src/one.js"].replace("{", "{", 1)
+
+
+def test_unmarked_copies_in_two_repositories(spark):
+    rows = [("x", r, p, t, 1) for (r, p), t in COPIED.items()] + [("y", "r5", "lib/again.js", COPIED["r5", "src/mine.js"], 1)]
+    df = spark.createDataFrame(rows, "chunk_id string, repo_id string, file_path string, content string, start_line int")
+    for marks in (True, False):
+        got = {(r.repo_id, r.file_path): list(r.reasons) for r in H.file_reasons(df, marks).collect()}
+        assert got == {("r5", "src/one.js"): ["vendored"], ("r6", "core/two.js"): ["vendored"]}  # a copy inside of one repository is nobody else's
+
+
+def test_grammars_decide_without_marks(spark):
+    got = {(r.repo_id, r.file_path): list(r.reasons) for r in H.file_reasons(frame(spark), marks=False).collect()}
+    assert {p: v for (r, p), v in got.items()} == {
+        "core/get.go": ["generated"], "web/app.js": ["minified"], "core/table.py": ["data"], "core/seed.sql": ["data"], "core/blob.js": ["data"],
+        "vendor/lib/x.js": ["vendored"], "src/util/x.js": ["vendored"],
+    }
+
+
+def test_pieces_of_a_long_text(spark, monkeypatch):
+    assert b"".join(H._pieces(b"ab\n" * 50)) == b"ab\n" * 50
+    monkeypatch.setattr(H, "BLOCK", 16)
+    for raw in (b"", b"abc", b"ab\n" * 50, b"x" * 100, b"x" * 16):
+        pieces = list(H._pieces(raw))
+        assert b"".join(pieces) == raw and all(len(p) <= 16 for p in pieces)
+
+
+def test_rows_without_a_place_are_spread(spark):
+    rows = [("x", None, None, f"{hand(8)}\n// {i}", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id string, repo_id string, file_path string, content string, start_line int")
+    features = H.file_features(df.unionAll(df))
+    assert features.count() > 100 and features.agg({"bytes": "sum"}).first()[0] > 300 * 100
+    assert H.file_reasons(df).count() == 0
 
 
 def test_counts_and_distinct_are_exact():
