@@ -24,6 +24,12 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuilt_turns(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
 
 
+def p2_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as two exporters have it in files of twelve hours, put together again where they overlap."""
+    out = conversations.assembled_exports(conversations.exports(table(spark, sf_dir, "messages")), 1_000)
+    return out.select("conversation_id", "whole", "messages")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.defective_answers(table(spark, sf_dir, "messages"))
 
@@ -92,9 +98,16 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p2_exports": p2_exports, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
+_P2_WIDTH = 12 * 3_600_000_000
 ORACLE = {
     "p7_found": _SQL_P7,
+    "p2_exports": _SQL_P2
+    + f""", e AS (SELECT conversation_id, epoch_us(created_at) AS at, row_number() OVER w AS i, lag(epoch_us(created_at)) OVER w AS before
+        FROM n WHERE r IS NOT NULL AND created_at IS NOT NULL
+        WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, CASE r WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'tool' THEN 3 ELSE 4 END, id)),
+    linked AS (SELECT *, before IS NULL OR at // {_P2_WIDTH} = before // {_P2_WIDTH} OR (at + {_P2_WIDTH // 2}) // {_P2_WIDTH} = (before + {_P2_WIDTH // 2}) // {_P2_WIDTH} AS l FROM e)
+    SELECT conversation_id, bool_and(l) AS whole, CASE WHEN bool_and(l) THEN count(*) END AS messages FROM linked GROUP BY 1""",
     "p2_found": _SQL_P2
     + """, ids AS (SELECT conversation_id FROM m UNION SELECT id FROM conversations WHERE id IS NOT NULL)
 SELECT conversation_id FROM ids WHERE conversation_id NOT IN (SELECT conversation_id FROM good)""",
