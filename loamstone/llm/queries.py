@@ -103,10 +103,10 @@ _P2_WIDTH = 12 * 3_600_000_000
 ORACLE = {
     "p7_found": _SQL_P7,
     "p2_exports": _SQL_P2
-    + f""", e AS (SELECT conversation_id, epoch_us(created_at) AS at, row_number() OVER w AS i, lag(epoch_us(created_at)) OVER w AS before
+    + f""", e AS (SELECT conversation_id, epoch_us(created_at) AS us, row_number() OVER w AS i, lag(epoch_us(created_at)) OVER w AS before
         FROM n WHERE r IS NOT NULL AND created_at IS NOT NULL
         WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, CASE r WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'tool' THEN 3 ELSE 4 END, id)),
-    linked AS (SELECT *, before IS NULL OR at // {_P2_WIDTH} = before // {_P2_WIDTH} OR (at + {_P2_WIDTH // 2}) // {_P2_WIDTH} = (before + {_P2_WIDTH // 2}) // {_P2_WIDTH} AS l FROM e)
+    linked AS (SELECT *, before IS NULL OR us // {_P2_WIDTH} = before // {_P2_WIDTH} OR (us + {_P2_WIDTH // 2}) // {_P2_WIDTH} = (before + {_P2_WIDTH // 2}) // {_P2_WIDTH} AS l FROM e)
     SELECT conversation_id, bool_and(l) AS whole, CASE WHEN bool_and(l) THEN count(*) END AS messages FROM linked GROUP BY 1""",
     "p2_found": _SQL_P2
     + """, ids AS (SELECT conversation_id FROM m UNION SELECT id FROM conversations WHERE id IS NOT NULL)
