@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,6 @@ from loamstone.session import strip_clash
 
 #: A leak is this many consecutive words of an item, or a passage with this share of its words in order.
 WORDS, SHARE = 12, 0.8
-#: Matches of this many words are where an altered passage is looked for; an item is looked at from this share of its words on.
-SEED, SEED_SHARE = 3, 0.12
 #: A passage is at most this many times as long as the item.
 STRETCH = 1.5
 #: Items are matched in blocks of so many words; the automaton of a block is all that is sent with a task, whatever the corpus is.
@@ -54,75 +54,153 @@ def words_of(text: str, known: dict[str, int] | None = None) -> list[str]:
 
 
 class SuffixAutomaton:
-    """All runs of words of all items. Each state knows which items its runs occur in, as a bit for each item."""
+    """All runs of words of all items, in flat arrays: most states go on by one word only, and only the others have a table.
+
+    The items a run occurs in are those that end a prefix in its state or below it in the tree of suffix links. These ends stand in
+    one array in the order of that tree, so that a state's items are a part of it, whatever their number.
+    """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
-        self.sequences = []
-        for _, text in items:
-            self.sequences.append([self.number.setdefault(w, len(self.number)) for w in words_of(text)])
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.owners = [0]
-        for k, sequence in enumerate(self.sequences):
+        self.word, self.to, self.link, self.length = array("i", [-1]), array("i", [-1]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        ends, owners, words, sizes = array("i"), array("i"), array("i"), array("i")
+        for k, (_, text) in enumerate(items):
+            sequence = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
+            words.extend(sequence)
+            sizes.append(len(sequence))
             last = 0
             for symbol in sequence:
                 last = self._extend(last, symbol)
-                self.owners[last] |= 1 << k
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            self.owners[self.link[state]] |= self.owners[state]
-
-    def _state(self, length: int, following: dict[int, int], link: int) -> int:
-        self.next.append(following)
+                ends.append(last)
+                owners.append(k)
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.words = np.array(words, dtype=np.int32)
+        self._place_owners(np.array(ends, dtype=np.int64), np.array(owners, dtype=np.int32))
+        self._count_words()
+
+    def _place_owners(self, ends: np.ndarray, owners: np.ndarray) -> None:
+        n = len(self.length)
+        link, length = np.array(self.link), np.array(self.length)
+        own = np.bincount(ends, minlength=n)
+        total = own.copy()
+        by_length = np.argsort(length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[by_length])) + 1
+        levels = np.split(by_length, cuts)
+        for states in reversed(levels[1:]):  # a link is shorter than what it is the link of
+            np.add.at(total, link[states], total[states])
+        start = np.zeros(n, dtype=np.int64)
+        free = own.copy()  # where the next state below begins, from the start of the one above
+        for states in levels[1:]:
+            up = link[states]
+            order = np.argsort(up, kind="stable")
+            states, up = states[order], up[order]
+            before = np.cumsum(total[states]) - total[states]
+            first = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]])) if len(up) else np.empty(0, dtype=np.int64)
+            inside = before - np.repeat(before[first], np.diff(np.append(first, len(up))))
+            start[states] = start[up] + free[up] + inside
+            np.add.at(free, up, total[states])
+        order = np.argsort(start[ends], kind="stable")
+        at = start[ends][order]
+        repeat = np.arange(len(at)) - np.searchsorted(at, at)
+        # states that own no end may start where another does, but their part of the array is empty then
+        self.owners = np.empty(len(at), dtype=np.int32)
+        self.owners[at + repeat] = owners[order]
+        self.start, self.total = start, total
+
+    def _count_words(self) -> None:
+        """For each item its different words with their numbers; and for each word the items of whose rarest words it is one: so many that a passage with SHARE of an item's words can't lack them all."""
+        item = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        width = max(1, len(self.number))
+        key, n = np.unique(item * width + self.words, return_counts=True)
+        self.bag_item, self.bag_word, self.bag_n = key // width, key % width, n
+        self.bag_bounds = np.searchsorted(self.bag_item, np.arange(len(self.sizes) + 1))
+        spread = np.bincount(self.bag_word, minlength=width)[self.bag_word]
+        order = np.lexsort((spread, self.bag_item))
+        reached = np.cumsum(n[order])
+        before = reached - n[order] - np.concatenate([[0], reached])[self.bag_bounds[self.bag_item[order]]]
+        size = self.sizes[self.bag_item[order]]
+        rare = order[before <= size - np.ceil(SHARE * size - 1e-9)]
+        by_word = np.argsort(self.bag_word[rare], kind="stable")
+        self.rare_items = self.bag_item[rare][by_word]
+        self.rare_bounds = np.searchsorted(self.bag_word[rare][by_word], np.arange(width + 1))
+        self.counts = np.zeros(width, dtype=np.int64)
+
+    def _next(self, state: int, symbol: int) -> int:
+        if self.word[state] == symbol:
+            return self.to[state]
+        table = self.more.get(state)
+        return -1 if table is None else table.get(symbol, -1)
+
+    def _lead(self, state: int, symbol: int, to: int) -> None:
+        if self.word[state] in (-1, symbol):
+            self.word[state], self.to[state] = symbol, to
+        else:
+            self.more.setdefault(state, {})[symbol] = to
+
+    def _state(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
         self.link.append(link)
         self.length.append(length)
-        self.owners.append(0)
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, symbol: int) -> int:
         """A copy of q for the runs that are no longer than p's with symbol behind."""
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        copy = self._state(self.length[p] + 1, self.link[q])
+        self.word[copy], self.to[copy] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[q] = copy
-        while p != -1 and self.next[p].get(symbol) == q:
-            self.next[p][symbol] = copy
+        while p != -1 and self._next(p, symbol) == q:
+            self._lead(p, symbol, copy)
             p = self.link[p]
         return copy
 
     def _extend(self, last: int, symbol: int) -> int:
-        q = self.next[last].get(symbol)
-        if q is not None:
+        q = self._next(last, symbol)
+        if q != -1:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, symbol)
-        new = self._state(self.length[last] + 1, {}, 0)
+        new = self._state(self.length[last] + 1, 0)
         p = last
-        while p != -1 and symbol not in self.next[p]:
-            self.next[p][symbol] = new
+        while p != -1 and (q := self._next(p, symbol)) == -1:
+            self._lead(p, symbol, new)
             p = self.link[p]
         if p != -1:
-            q = self.next[p][symbol]
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, symbol)
         return new
 
     def stream(self, symbols: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(place, length, state): the longest run of any item that ends at each place, where it has SEED words or more. A symbol of -1 is in no item."""
-        following, link, lengths = self.next, self.link, self.length
+        """(place, length, state): the longest run of any item that ends at each place, where it has WORDS words or more. A symbol of -1 is in no item."""
+        word, to, link, lengths, more = self.word, self.to, self.link, self.length, self.more
         state, matched = 0, 0
         for place, symbol in enumerate(symbols):
             if symbol < 0:
                 state = matched = 0
                 continue
-            while state and symbol not in following[state]:
+            while True:
+                if word[state] == symbol:
+                    state = to[state]
+                    matched += 1
+                    break
+                table = more.get(state)
+                if table is not None and symbol in table:
+                    state = table[symbol]
+                    matched += 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 matched = lengths[state]
-            to = following[state].get(symbol)
-            if to is None:
-                continue
-            state = to
-            matched += 1
-            if matched >= SEED:
+            if matched >= WORDS:
                 yield place, matched, state
 
+    def items_at(self, state: int) -> np.ndarray:
+        """The items that the runs of a state occur in."""
+        return np.unique(self.owners[self.start[state] : self.start[state] + self.total[state]])
+
     def at_length(self, state: int, length: int) -> int:
         """The state of the last `length` words of a run that ends in state."""
         while self.length[self.link[state]] >= length:
@@ -134,30 +212,19 @@ class SuffixAutomaton:
         number = self.number
         symbols = [number.get(w, -1) for w in words_of(text, number)]
         runs: dict[int, tuple[int, int]] = {}
-        seeds: dict[int, list[int]] = {}
         for place, matched, state in self.stream(symbols):
-            bits = self.owners[self.at_length(state, SEED)]
-            while bits:
-                low = bits & -bits
-                seeds.setdefault(low.bit_length() - 1, []).append(place)
-                bits ^= low
-            if matched >= WORDS:
-                # items that share only a shorter end of the run have WORDS words in common too
-                s = self.at_length(state, WORDS)
-                bits = self.owners[s]
-                while bits:
-                    low = bits & -bits
-                    k = low.bit_length() - 1
-                    longest = matched if self.owners[state] & low else WORDS
-                    if longest > runs.get(k, (0, 0))[0]:
-                        runs[k] = (longest, place)
-                    bits ^= low
+            # items that share only a shorter end of the run have WORDS words in common too
+            whole = set(self.items_at(state).tolist())
+            for k in self.items_at(self.at_length(state, WORDS)).tolist():
+                longest = matched if k in whole else WORDS
+                if longest > runs.get(k, (0, 0))[0]:
+                    runs[k] = (longest, place)
         found: dict[int, tuple[int, int, int, int]] = {}
-        for k, places in seeds.items():
-            n = len(self.sequences[k])
-            order, first, last = 0, 0, 0
-            if len(places) >= max(1, SEED_SHARE * n) and n * SHARE <= len(symbols):
-                order, first, last = self._passage(k, symbols, places)
+        met = np.array(symbols, dtype=np.int64)
+        covered = set(self._covered(met).tolist())
+        for k in sorted(covered | runs.keys()):
+            n = int(self.sizes[k])
+            order, first, last = self._passage(k, met) if k in covered else (0, 0, 0)
             if k in runs:
                 longest, end = runs[k]
                 if order < SHARE * n:
@@ -167,32 +234,55 @@ class SuffixAutomaton:
                 found[k] = (0, order, first, last)
         return found
 
-    def _passage(self, k: int, symbols: list[int], places: list[int]) -> tuple[int, int, int]:
-        """(words in order, first, last) of the best window of STRETCH times the item's length around its seeds: longest common subsequences, a row of bits at a time."""
-        item = self.sequences[k]
+    def _covered(self, symbols: np.ndarray) -> np.ndarray:
+        """The items of whose words the text has SHARE, wherever they stand."""
+        known, n = np.unique(symbols[symbols >= 0], return_counts=True)
+        if not len(known):
+            return known
+        lo, hi = self.rare_bounds[known], self.rare_bounds[known + 1]
+        size = hi - lo
+        if not size.any():
+            return known[:0]
+        at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        items = np.unique(self.rare_items[at])
+        lo, size = self.bag_bounds[items], self.bag_bounds[items + 1] - self.bag_bounds[items]
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(lo - first, size)
+        self.counts[known] = n
+        common = np.add.reduceat(np.minimum(self.counts[self.bag_word[at]], self.bag_n[at]), first)
+        self.counts[known] = 0
+        return items[common >= SHARE * self.sizes[items]]
+
+    def _passage(self, k: int, symbols: np.ndarray) -> tuple[int, int, int]:
+        """(words in order, first, last) of the best window: longest common subsequences, a row of bits at a time. A passage of up to STRETCH times the item's length lies in a window whole; windows that hold too few of the item's words can't be one."""
+        item = self.words[self.bounds[k] : self.bounds[k + 1]].tolist()
         n = len(item)
         where: dict[int, int] = {}
         for i, symbol in enumerate(item):
             where[symbol] = where.get(symbol, 0) | 1 << i
-        full, size, step = (1 << n) - 1, int(n * STRETCH) + 2, max(1, n // 8)
-        best = (0, 0, 0)
-        tried = -1
-        for place in places:
-            lo = max(0, place - size)
-            for start in range(max(lo, tried + 1 if tried >= lo else lo), place + 1, step):
-                row = full
-                end = min(len(symbols), start + size)
-                for j in range(start, end):
-                    mask = where.get(symbols[j])
-                    if mask:
-                        u = row & mask
-                        row = (row + u | row - u) & full
-                common = n - row.bit_count()
-                if common > best[0]:
-                    best = (common, start, end - 1)
-                tried = max(tried, start)
-            if best[0] == n:
-                break
+        step = max(1, n // 8)
+        size = int(n * STRETCH) + step
+        full = (1 << n) - 1
+        masks = [where.get(s, 0) for s in symbols.tolist()]
+        held = np.concatenate([[0], np.cumsum([m > 0 for m in masks])])
+        starts = np.arange(max(1, len(masks) - size + 1))
+        enough = held[np.minimum(starts + size, len(masks))] - held[starts] >= SHARE * n
+        best, tried = (0, 0, 0), -step
+        for start in np.flatnonzero(enough).tolist():
+            # each run of windows is tried at every step, and at its end
+            if start - tried < step and start + 1 < len(enough) and enough[start + 1]:
+                continue
+            tried = start
+            row, end = full, min(len(masks), start + size)
+            for mask in masks[start:end]:
+                if mask:
+                    u = row & mask
+                    row = (row + u | row - u) & full
+            common = n - row.bit_count()
+            if common > best[0]:
+                best = (common, start, end - 1)
+                if common == n:
+                    break
         return best
 
 
@@ -226,7 +316,7 @@ def _search(sent):
                 found = automaton.leaked(text)
                 if found:
                     at = _positions(text, automaton.number)
-                    rows += [(doc_id, automaton.ids[k], longest, order, len(automaton.sequences[k]), at[a][0] + 1, at[b][1]) for k, (longest, order, a, b) in found.items()]
+                    rows += [(doc_id, automaton.ids[k], longest, order, int(automaton.sizes[k]), at[a][0] + 1, at[b][1]) for k, (longest, order, a, b) in found.items()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             types = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "longest", "in_order", "item_words", "start_pos", "end_pos"])
