@@ -268,20 +268,28 @@ class SuffixAutomaton:
         starts = np.arange(max(1, len(masks) - size + 1))
         enough = held[np.minimum(starts + size, len(masks))] - held[starts] >= SHARE * n
         best, tried = (0, 0, 0), -step
+
+        def common(lo: int, hi: int) -> int:
+            row = full
+            for mask in masks[lo:hi]:
+                if mask:
+                    u = row & mask
+                    row = (row + u | row - u) & full
+            return n - row.bit_count()
+
+        # a text that hasn't so many of the words in order has no window that does
+        if not enough.any() or common(int(enough.argmax()), len(masks)) < SHARE * n:
+            return best
         for start in np.flatnonzero(enough).tolist():
             # each run of windows is tried at every step, and at its end
             if start - tried < step and start + 1 < len(enough) and enough[start + 1]:
                 continue
             tried = start
-            row, end = full, min(len(masks), start + size)
-            for mask in masks[start:end]:
-                if mask:
-                    u = row & mask
-                    row = (row + u | row - u) & full
-            common = n - row.bit_count()
-            if common > best[0]:
-                best = (common, start, end - 1)
-                if common == n:
+            end = min(len(masks), start + size)
+            in_order = common(start, end)
+            if in_order > best[0]:
+                best = (in_order, start, end - 1)
+                if in_order == n:
                     break
         return best
 
