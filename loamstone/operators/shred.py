@@ -21,9 +21,9 @@ FIELD, SINGLE = "", ""
 #: Field names that hold arrays of objects are matched by one regular expression up to this number; beyond it they are joined.
 MAX_PATTERN_NAMES = 5_000
 
-NODE_SCHEMA = "record_id string, node int, parent int, label string, ordinal int, kind string, scalar string, in_array boolean, marked_path string, entity string"
+NODE_SCHEMA = "record_id string, node int, parent int, label string, ordinal int, kind string, scalar string, in_array boolean, marked_path string, entity string, parent_object int, position array<int>"
 NODE_ARROW = pa.schema(
-    [("record_id", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("in_array", pa.bool_()), ("marked_path", pa.string()), ("entity", pa.string())]
+    [("record_id", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("in_array", pa.bool_()), ("marked_path", pa.string()), ("entity", pa.string()), ("parent_object", pa.int32()), ("position", pa.list_(pa.int32()))]
 )
 ROWS_PER_BATCH = 20_000
 
@@ -48,26 +48,30 @@ def parse(text: str | None):
 
 
 def nodes_of(value) -> Iterator[tuple]:
-    """(node, parent, label, ordinal, kind, scalar, in_array, marked_path, entity) of every node, numbered in pre-order. No recursion: depth is bounded by memory only."""
-    stack = [(value, None, None, 0, False, "$", "$")]
+    """(node, parent, label, ordinal, kind, scalar, in_array, marked_path, entity, parent_object, position) of every node, numbered in pre-order.
+
+    parent_object is the nearest object above, through any arrays between; position has the places in these arrays. No recursion:
+    depth is bounded by memory only.
+    """
+    stack = [(value, None, None, 0, False, "$", "$", None, ())]
     number = 0
     while stack:
-        x, parent, label, ordinal, in_array, path, entity = stack.pop()
+        x, parent, label, ordinal, in_array, path, entity, above, position = stack.pop()
         node, number = number, number + 1
         if isinstance(x, dict):
-            yield node, parent, label, ordinal, "object", None, in_array, path, entity
+            yield node, parent, label, ordinal, "object", None, in_array, path, entity, above, position
             for i, (k, v) in reversed(list(enumerate(x.items()))):
                 name = _clean(k)
                 here = path + FIELD + name
-                stack.append((v, node, name, i, False, here + SINGLE if isinstance(v, dict) else here, f"{entity}.{name}"))
+                stack.append((v, node, name, i, False, here + SINGLE if isinstance(v, dict) else here, f"{entity}.{name}", node, ()))
         elif isinstance(x, list):
-            yield node, parent, label, ordinal, "array", None, in_array, path, entity
+            yield node, parent, label, ordinal, "array", None, in_array, path, entity, above, position
             for i, v in reversed(list(enumerate(x))):
-                stack.append((v, node, label, i, True, f"{path}[{i}]", entity))
+                stack.append((v, node, label, i, True, f"{path}[{i}]", entity, above, (*position, i)))
         else:
             kind = "null" if x is None else "boolean" if isinstance(x, bool) else "string" if isinstance(x, str) else "number"
             scalar = None if x is None else x.encode("utf-8", "replace").decode() if isinstance(x, str) else json.dumps(x)
-            yield node, parent, label, ordinal, kind, scalar, in_array, path, entity
+            yield node, parent, label, ordinal, kind, scalar, in_array, path, entity, above, position
 
 
 def _shredder(only_objects: bool):
@@ -152,24 +156,42 @@ def entity_kinds(nodes: DataFrame, limit: int = 10_000) -> list[str]:
     return sorted(kinds)
 
 
+_SCALARS = ("string", "number", "boolean")
+
+
+def _is(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def entity_rows(nodes: DataFrame) -> DataFrame:
+    """kind, record_id, node, parent_node, position, fields of every object of every kind: the flat tables of all kinds as one, with the scalar fields as a map.
+
+    parent_node is the nearest object above, through any arrays; position has the places in the arrays between. Object nodes meet
+    their scalar children on (record_id, parent), so no group is larger than an object.
+    """
+    objects = nodes.filter(F.col("kind") == "object").select(F.col("entity").alias("kind"), "record_id", "node", F.col("parent_object").alias("parent_node"), "position")
+    scalars = nodes.filter(F.col("kind").isin(*_SCALARS) & ~F.col("in_array")).select(F.col("record_id").alias("s_record"), F.col("parent").alias("s_node"), F.struct("label", "scalar").alias("field"))
+    fields = scalars.groupBy("s_record", "s_node").agg(F.map_from_entries(F.array_sort(F.collect_list("field"))).alias("fields"))
+    joined = objects.join(fields, _is("record_id", "s_record") & (F.col("node") == F.col("s_node")), "left")
+    return joined.select("kind", "record_id", "node", "parent_node", "position", F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"))
+
+
+def value_rows(nodes: DataFrame) -> DataFrame:
+    """kind, record_id, parent_node, position, value of every scalar that is an element of an array: the child tables of multi-valued fields, kind being the path of the field. One narrow pass."""
+    scalars = nodes.filter(F.col("kind").isin(*_SCALARS) & F.col("in_array"))
+    return scalars.select(F.col("entity").alias("kind"), "record_id", F.col("parent_object").alias("parent_node"), "position", F.col("scalar").alias("value"))
+
+
 def entity_table(nodes: DataFrame, entity: str, max_columns: int = 1_000) -> DataFrame:
     """The flat table of one kind of object: record_id, node, parent_node (the nearest object above), ordinal and a string column for each scalar field, prefixed f_.
 
-    A child that is absent or null gives null. Objects without scalar fields keep their row. Object rows meet their scalar children
-    on (record_id, parent): one exchange on a key with as many values as there are objects, so no key is hot.
+    A child that is absent or null gives null. Objects without scalar fields keep their row; scalars that are elements of arrays are
+    in value_rows. ordinal is the place in the innermost array, 0 for an object in none.
     """
-    objects = nodes.filter((F.col("kind") == "object") & (F.col("entity") == entity)).select("record_id", "node", "parent", "ordinal", "in_array")
-    scalars = nodes.filter(F.col("kind").isin("string", "number", "boolean") & ~F.col("in_array")).select("record_id", F.col("parent").alias("node"), "label", "scalar", "entity")
-    scalars = scalars.filter(F.col("entity") == F.concat(F.lit(entity + "."), F.col("label")))
-    columns = [r.label for r in scalars.select("label").distinct().limit(max_columns + 1).collect()]
+    rows = entity_rows(nodes.filter(F.col("entity").isin(entity) | F.col("entity").startswith(entity + "."))).filter(F.col("kind") == entity)
+    found = nodes.filter(F.col("kind").isin(*_SCALARS) & ~F.col("in_array") & (F.col("entity") == F.concat(F.lit(entity + "."), F.col("label"))))
+    columns = [r.label for r in found.select("label").distinct().limit(max_columns + 1).collect()]
     if len(columns) > max_columns:
         raise ValueError(f"more than {max_columns} fields in {entity}: field names seem to be data")
-    columns = sorted(columns)
-    o, s = objects.alias("o"), scalars.alias("s")
-    joined = o.join(s, F.col("o.record_id").eqNullSafe(F.col("s.record_id")) & (F.col("o.node") == F.col("s.node")), "left")
-    grouped = joined.groupBy("o.record_id", "o.node", "o.parent", "o.ordinal", "o.in_array")
-    picks = [F.max(F.when(F.col("s.label") == c, F.col("s.scalar"))).alias(f"f_{c}") for c in columns] or [F.count(F.lit(1)).alias("_n")]
-    flat = grouped.agg(*picks)
-    arrays = nodes.filter(F.col("kind") == "array").select(F.col("record_id").alias("a_record"), F.col("node").alias("a_node"), F.col("parent").alias("a_parent"))
-    linked = flat.join(arrays, flat.record_id.eqNullSafe(F.col("a_record")) & (flat.parent == F.col("a_node")), "left")
-    return linked.select("record_id", "node", F.coalesce("a_parent", "parent").alias("parent_node"), "ordinal", *(f"`f_{c}`" for c in columns))
+    ordinal = F.element_at("position", -1)
+    return rows.select("record_id", "node", "parent_node", F.when(F.size("position") > 0, ordinal).otherwise(0).alias("ordinal"), *(F.col("fields")[c].alias(f"f_{c}") for c in sorted(columns)))

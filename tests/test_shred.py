@@ -1,6 +1,6 @@
 import json
 
-from loamstone.operators.shred import entity_kinds, entity_table, object_paths, parse, shred
+from loamstone.operators.shred import entity_kinds, entity_rows, entity_table, object_paths, parse, shred, value_rows
 
 SCHEMA = "id string, metadata_json string, kind string, node int, label string"
 
@@ -71,3 +71,15 @@ def test_deep_records_need_no_recursion(spark):
 
 def test_long_values(spark):
     assert paths(spark, [json.dumps({"s": [{"a": "x" * 3_000_000}]})]) == [("m0", "$.s[0]")]
+
+
+def test_values_of_arrays_and_parents_through_nested_arrays(spark):
+    nodes = shred(messages(spark, ['{"m": [[{"a": 1}, {"a": 2, "tags": ["x", ["y", null]]}]], "plan": ["p", 2, true, null]}', "[1, [2]]", "5"]))
+    rows = {(r.record_id, r.kind, r.node): r for r in entity_rows(nodes).collect()}
+    assert len(rows) == 3
+    first, second = sorted((r for r in rows.values() if r.kind == "$.m"), key=lambda r: r.node)
+    assert (first.parent_node, first.position, first.fields) == (0, [0, 0], {"a": "1"}) and (second.parent_node, second.position) == (0, [0, 1])
+    values = sorted((r.record_id, r.kind, r.parent_node, tuple(r.position), r.value) for r in value_rows(nodes.filter("record_id = 'm0'")).collect())
+    assert values == [("m0", "$.m.tags", second.node, (0,), "x"), ("m0", "$.m.tags", second.node, (1, 0), "y"), ("m0", "$.plan", 0, (0,), "p"), ("m0", "$.plan", 0, (1,), "2"), ("m0", "$.plan", 0, (2,), "true")]
+    assert sorted((r.parent_node, tuple(r.position), r.value) for r in value_rows(nodes.filter("record_id = 'm1'")).collect()) == [(None, (0,), "1"), (None, (1, 0), "2")]
+    assert [(r.node, r.parent_node, r.ordinal, r.f_a) for r in entity_table(nodes, "$.m").orderBy("node").collect()] == [(first.node, 0, 0, "1"), (second.node, 0, 1, "2")]
