@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamstone.llm import conversations, credentials, defects, handwritten, leaks, markup, packing, personal, split
+from loamstone.llm import boilerplate, conversations, credentials, defects, handwritten, leaks, markup, packing, personal, split
 from loamstone.session import table
 
 
@@ -42,6 +43,13 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_messages(table(spark, sf_dir, "messages"))
 
 
+def p4_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What messages share with others of their repository, by suffix arrays: the method named for problem 4, kept for its figures."""
+    hosts = table(spark, sf_dir, "conversations").filter("id IS NOT NULL").groupBy("id").agg(F.min("repo_id").alias("host")).withColumnRenamed("id", "conversation")
+    rows = table(spark, sf_dir, "messages").select("id", "conversation_id", "content").join(hosts, F.col("conversation_id") == F.col("conversation"), "left")
+    return boilerplate.without_repeats(rows, "host", "id", "content").select(F.col("page_id").alias("message_id"), "tokens", "covered")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_lines(table(spark, sf_dir, "chunks"))
 
@@ -98,7 +106,7 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p2_exports": p2_exports, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p2_exports": p2_exports, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_repeated": p4_repeated, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
 _P2_WIDTH = 12 * 3_600_000_000
 ORACLE = {
     "p7_found": _SQL_P7,
