@@ -7,6 +7,7 @@ read, in blocks of bounded size; only what lies in badly filled containers moves
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,18 +25,25 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BLOCK, FILLED = 4096, 0.97
 #: Blocks whose open containers are packed together in the second round.
 MERGE = 64
-#: Texts longer than this are tokenised in parts that end at white space, which gives the same tokens or a few more.
+#: Texts longer than this are tokenised in parts, cut where no token can go over.
 PART = 200_000
+_CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """segments: most items of a container. loss_share: the share of the capacity that loss-bearing tokens may take; with 1 an item that fits always has a container."""
+    """segment_tokens: a container has one segment for so many tokens of its capacity at most, and least_segments in any case. loss_share: the share of the capacity that loss-bearing tokens may take; an item with more than that by itself is alone in its container."""
 
-    segments: int = 256
-    loss_share: float = 1.0
+    segment_tokens: int = 40
+    least_segments: int = 4
+    loss_share: float = 0.98
 
+    def segments(self, capacity: int) -> int:
+        return max(self.least_segments, capacity // self.segment_tokens)
 
+
+#: How much an item loses by each share of the loss that a container would lack after it.
+_BALANCE = 4.0
 _ENCODERS: dict = {}
 
 
@@ -50,41 +58,45 @@ def encoder(path: str, pattern: str):
 
 
 def count_tokens(text: str, enc) -> int:
-    if len(text) <= PART:
-        return len(enc.encode_ordinary(text))
+    """The number of tokens of the whole text. A single blank between two other characters always starts a new piece of PATTERN, so a long text is cut at such blanks, with the same tokens."""
     total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + PART)
-        if end < len(text):
-            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = cut if cut > at else end
-        total += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    while len(text) - at > PART:
+        m = _CUT.search(text, at + PART)
+        if m is None:
+            break
+        total += len(enc.encode_ordinary(text[at : m.start()]))
+        at = m.start()
+    return total + len(enc.encode_ordinary(text[at:]))
+
+
+_QUOTED = re.compile(r"^[ \t]*>.*\n?", re.M)
 
 
 def prompt_of(text: str) -> str:
-    """What bears no loss: the first line, which is the title or question of a document of several lines."""
-    first, newline, _ = text.partition("\n")
-    return first + newline if newline else ""
+    """What bears no loss: the first line, which is the title or question of a document of several lines, and lines that quote another."""
+    first, newline, rest = text.partition("\n")
+    quoted = "".join(_QUOTED.findall(rest if newline else text)) if ">" in text else ""
+    return (first + newline if newline else "") + quoted
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, limits: Limits) -> tuple[np.ndarray, int]:
-    """(container of each item, containers). The dot-product heuristic: a container takes, of the items that fit, the one whose sizes go along best with the room that is left, until none fits; sizes are shares of the limits, weighted by how much of each all items need."""
+    """(container of each item, containers). The dot-product heuristic: a container takes, of the items that fit, the one whose sizes go along best with the room that is left, until none fits; an item that uses up the loss before the tokens comes later. Sizes are shares of the limits, weighted by how much of each all items need."""
     n = len(tokens)
     out = np.full(n, -1)
     if not n:
         return out, 0
     most_loss = max(1.0, capacity * limits.loss_share)
-    need = np.array([tokens.sum() / capacity, n / limits.segments, loss.sum() / most_loss])
+    most = limits.segments(capacity)
+    need = np.array([tokens.sum() / capacity, n / most, loss.sum() / most_loss])
     weight = need / max(need.sum(), 1e-12)
     # longest first, so that what fits by tokens is the rest of the arrays from some place on
     order = np.lexsort((np.arange(n), -tokens))
     size, lost = tokens[order] / capacity, loss[order] / most_loss
     alive = np.ones(n, dtype=bool)
+    rate = lost.sum() / max(size.sum(), 1e-12)
     left, box = n, 0
     while left:
-        room, room_loss, room_segments = 1.0 + 1e-9, 1.0 + 1e-9, limits.segments
+        room, room_loss, room_segments = 1.0 + 1e-9, 1.0 + 1e-9, most
         took = 0
         while room_segments:
             first = int(np.searchsorted(-size, -room))
@@ -92,9 +104,11 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, limits: Limits) ->
                 break
             # all items take one segment, so that term is the same for each and decides nothing
             score = size[first:] * (weight[0] * room) + lost[first:] * (weight[2] * room_loss)
-            score[~(alive[first:] & (lost[first:] <= room_loss))] = -1.0
+            # what is left of the loss has to do for what is left of the tokens, at the rate of all items
+            score -= _BALANCE * np.maximum(0.0, (room - size[first:]) * rate - (room_loss - lost[first:]))
+            score[~(alive[first:] & (lost[first:] <= room_loss))] = -np.inf
             k = int(score.argmax())
-            if score[k] < 0:
+            if score[k] == -np.inf:
                 break
             k += first
             out[order[k]] = box
@@ -146,7 +160,7 @@ def _cut(ids: np.ndarray, tokens: np.ndarray, loss: np.ndarray, capacity: int) -
 def _rows(budget: int, ids: np.ndarray, piece: np.ndarray, size: np.ndarray, loss: np.ndarray, capacity: int, limits: Limits, name: str, block: int, close: bool) -> pa.RecordBatch:
     box, n = pack(size, loss, capacity, limits)
     fill = np.bincount(box, weights=size, minlength=n) / capacity
-    crowded = np.bincount(box, minlength=n) >= limits.segments
+    crowded = np.bincount(box, minlength=n) >= limits.segments(capacity)
     opened = np.zeros(len(box), dtype=bool) if close else ~((fill >= FILLED) | crowded)[box]
     width = len(str(n))
     return pa.RecordBatch.from_arrays(
@@ -219,10 +233,15 @@ def containers(documents: DataFrame, budgets: DataFrame, limits: Limits = Limits
     return placed.filter("NOT open").select(*columns).unionByName(moved.select(*columns))
 
 
-def fill_report(placed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """budget_id, containers, tokens, fill (share of the room used, to four places), least (containers that any packing needs)."""
+def fill_report(placed: DataFrame, budgets: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """budget_id, containers, tokens, fill (share of the room used, to four places), loss_fill and segment_fill (the same of the other limits), full_loss and full_segments (containers within 2 % of these limits, or at them), least (containers that any packing needs)."""
     capacities = strip_clash(budgets, {"budget_id": "budget_id", "capacity": "capacity_tokens"}).distinct()
-    each = placed.groupBy("budget_id", "container").agg(F.sum("tokens").alias("tokens"))
-    total = each.groupBy("budget_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
-    out = total.join(F.broadcast(capacities), "budget_id")  # at most 1000 rows, see containers()
-    return out.select("budget_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4).alias("fill"), F.ceil(F.col("tokens") / F.col("capacity")).alias("least"))
+    capacities = capacities.withColumns({"most_loss": F.col("capacity") * limits.loss_share, "most": F.greatest(F.lit(limits.least_segments), F.floor(F.col("capacity") / limits.segment_tokens))})
+    each = placed.groupBy("budget_id", "container").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("items"))
+    each = each.join(F.broadcast(capacities), "budget_id")  # at most 1000 rows, see containers()
+    share = lambda c, limit: F.round(F.sum(c) / F.sum(limit), 4)
+    out = each.groupBy("budget_id").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), share("tokens", "capacity").alias("fill"), share("loss", "most_loss").alias("loss_fill"), share("items", "most").alias("segment_fill"),
+        F.count_if(F.col("loss") >= 0.98 * F.col("most_loss")).alias("full_loss"), F.count_if(F.col("items") >= F.col("most")).alias("full_segments"), F.ceil(F.sum("tokens") / F.first("capacity")).alias("least"),
+    )
+    return out

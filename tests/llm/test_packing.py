@@ -16,7 +16,7 @@ needs_vocabulary = pytest.mark.skipif(not os.path.exists(P.VOCABULARY), reason="
 def test_pack_keeps_every_limit(items, segments):
     tokens = np.array([t for t, _ in items], dtype=np.int64)
     loss = (tokens * np.array([x for _, x in items])).astype(np.int64) if items else tokens
-    limits = P.Limits(segments, 0.9)
+    limits = P.Limits(100, segments, 0.9)
     box, n = P.pack(tokens, loss, 100, limits)
     assert (box >= 0).all() and (not items or box.max() == n - 1)
     for b in range(n):
@@ -28,7 +28,7 @@ def test_pack_keeps_every_limit(items, segments):
 def test_fill():
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 400, 2000)
-    _, n = P.pack(tokens, tokens, 1000, P.Limits())
+    _, n = P.pack(tokens, tokens, 1000, P.Limits(segment_tokens=1, loss_share=1.0))
     assert n <= np.ceil(tokens.sum() / 1000) * 1.01 + 1
 
 
@@ -44,25 +44,41 @@ def test_frame(spark):
     budgets = spark.createDataFrame([(1, "a", 64), (2, "b", 500), (2, "b", 500), (3, "c", None), (4, "d", 0)], "budget_id int, label string, capacity_tokens int")
     placed = P.containers(docs, budgets).cache()
     sums = placed.groupBy("budget_id", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("piece").alias("p"))
-    assert sums.filter("budget_id = 1 AND t > 64 OR budget_id = 2 AND t > 500 OR n > 256").count() == 0
+    assert sums.filter("budget_id = 1 AND t > 64 OR budget_id = 2 AND t > 500 OR n > 12").count() == 0
     assert sorted(r.budget_id for r in placed.select("budget_id").distinct().collect()) == [1, 2]
     total = P.measured(docs).agg(F.sum("tokens")).first()[0]
     assert {r[1] for r in placed.groupBy("budget_id").agg(F.sum("tokens")).collect()} == {total}
     assert placed.filter("budget_id = 2 AND piece > 0").select("item_id").distinct().collect() == [(300,)]
     assert placed.filter("item_id IS NULL AND budget_id = 1").count() == 1
     report = {r.budget_id: r for r in P.fill_report(placed, budgets).collect()}
-    assert report[2].fill > 0.9 and report[2].containers >= report[2].least
+    assert report[2].fill > 0.7 and report[2].containers >= report[2].least
     assert P.containers(docs.limit(0), budgets).count() == 0 and P.containers(docs, budgets.limit(0)).count() == 0
 
 
 @needs_vocabulary
-def test_long_texts_are_counted_in_parts():
+def test_long_texts_are_counted_in_parts_with_the_same_tokens(monkeypatch):
     enc = P.encoder(P.VOCABULARY, P.PATTERN)
-    text = "some words here " * 30_000
-    n = len(enc.encode_ordinary(text))
-    assert n <= P.count_tokens(text, enc) <= n * 1.001 + 5
+    rng = np.random.default_rng(4)
+    pieces = ["some", " words", "  ", "\n", "\t", "it's", "1234", " 5", "é", "中文", "...", " (", ")", " ", "\n\n  x"]
+    texts = ["".join(rng.choice(pieces, 400)) for _ in range(60)]
+    whole = [len(enc.encode_ordinary(t)) for t in texts]
+    monkeypatch.setattr(P, "PART", 50)
+    assert [P.count_tokens(t, enc) for t in texts] == whole
     assert P.count_tokens("x" * 450_000, enc) > 0
 
 
+def test_loss_and_segments_bind():
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(5, 300, 3000)
+    loss = (tokens * rng.choice([0.5, 0.9, 1.0, 1.0], 3000)).astype(int)
+    limits = P.Limits(segment_tokens=100, loss_share=0.9)
+    box, n = P.pack(tokens, loss, 1000, limits)
+    sums, held = np.bincount(box, weights=loss), np.bincount(box)
+    assert (sums >= 880).mean() > 0.2 and (held == 10).any() and (sums <= 900).all() and (held <= 10).all()
+    free, m = P.pack(tokens, loss, 1000, P.Limits(segment_tokens=1, loss_share=1.0))
+    assert (np.bincount(free, weights=loss) > 900).any() and n <= m * 1.1
+
+
 def test_prompt():
-    assert P.prompt_of("title\nbody\nmore") == "title\n" and P.prompt_of("only") == ""
+    assert P.prompt_of("title\nbody\nmore") == "title\n" and P.prompt_of("only") == "" and P.prompt_of("> said") == "> said"
+    assert P.prompt_of("title\n> said\nanswer\n  > more\na > b") == "title\n> said\n  > more\n"
