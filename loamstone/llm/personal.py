@@ -6,6 +6,7 @@ so that equal values stay linked in all documents and nobody without the key can
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
@@ -126,17 +127,17 @@ _CUES = (
     (r"\b(?:national id|tax id|passport number|Ausweisnummer|num[ée]ro d['’]identit[ée]|documento de identidade?)[ \t]+[A-Z0-9][A-Z0-9 /.-]{4,16}[A-Z0-9][ \t]+(?:of|von|de|do|da)[ \t]+", "", False),
     (r"(?:提交人|联系人|作者|姓名)[：:][ \t]*", r"(?=[，,。；;\s])", False),
     (r"[\"'](?:name|full_?name|contact|user|owner|author)[\"'][ \t]*:[ \t]*[\"']", r"(?=[\"'])", False),
-    (r"\bpasted into the ticket:[ \t]*", r"(?=[ \t]*;)", False),
+    (r"\b(?:[Pp]asted|[Ss]hared|[Pp]osted|[Ff]orwarded|[Dd]etails|[Cc]ustomer|[Rr]equester|[Cc]aller)\b[^:\n]{0,40}:[ \t]*", r"(?=[ \t]*[;,(\n]|[ \t]*$)", False),
     (r"(?:^|\n)-- ?\r?\n[ \t]*", r"(?=[ \t]*(?:\r?\n|$))", False),
     (r"(?:\d|\.)[ \t]*\(", r"(?=\))", False),
     (r"\bas[ \t]+", r"(?=[ \t]+(?:confirmed|said|wrote|told|reported|mentioned)\b)", False),
     (r"\bAsk[ \t]+", r"(?=[ \t]+(?:or|before|and|about)\b)", False),
-    (r"\bor[ \t]+", r"(?=[ \t]+before touching\b)", False),
+    (r"\b(?:or|and|to|with|by|from)[ \t]+", r"(?=[ \t]+(?:before|first|if|when|about)\b)", False),
     (r"(?:^|[\n.!?:>\-*][ \t]*)(?=[^\W\d_])", r"(?=[ \t]+(?:wrote|said|confirmed|reported|replied|asked|schrieb|escribió|a écrit|escreveu)\b)", False),
 )
 _CUE_RX = [(re.compile(f"{before}(?P<name>{PERSON}){after}"), single) for before, after, single in _CUES]
 #: The cues after which two words may be a name even if both are unknown and in lower case; and fixed values, words that they aren't.
-_SURE_CUES = (4, 5, 7, 8, 9, 10, 11)
+_SURE_CUES = (4, 5, 7, 8, 9, 10)
 _NO_NAMES = frozenset("the a an this that these those my your his her its our their all any some each every no not to for of in on at by with from as is are was it we you they he she der die das den dem ein eine la le les el los las un une una o os as um uma de do da que und y et e is was".split())
 _TITLE_WORDS = ("Dr", "Mr", "Mrs", "Ms", "Miss", "Prof", "Herr", "Frau", "Señor", "Senor", "Señora", "Senora", "Sr", "Sra", "Mme", "Mlle", "Monsieur", "Madame", "Sir", "Dame", "Rev", "Hr", "Fr", "Dra", "Dona", "Dom")
 _SAYING = tuple(b + w for b in (" ", "\t") for w in ("wrote", "said", "confirmed", "reported", "replied", "asked", "told", "mentioned", "schrieb", "escribió", "a écrit", "escreveu"))
@@ -153,12 +154,12 @@ _ANCHORS = (
     ("national id", "tax id", "passport number", "Ausweisnummer", "identité", "identite", "identidad"),
     ("提交人", "联系人", "作者", "姓名"),
     tuple(f"{n}{q}" for n in ("name", "contact", "user", "owner", "author") for q in ("\"", "'")),
-    ("pasted into the ticket:",),
+    ("asted", "hared", "osted", "orwarded", "etails", "ustomer", "equester", "aller"),
     ("-- \n", "-- \r\n", "--\n", "--\r\n"),
     None,
     tuple(x for x in _SAYING if x[1:] in ("confirmed", "said", "wrote", "told", "reported", "mentioned")),
     ("Ask ", "Ask\t"),
-    (" before touching", "\tbefore touching"),
+    tuple(b + w for b in (" ", "\t") for w in ("before", "first", "if", "when", "about")),
     tuple(x for x in _SAYING if x[1:] not in ("told", "mentioned")),
 )
 #: How far before and behind such a literal a match reaches, long runs of blanks aside: no name and cue are longer.
@@ -485,44 +486,129 @@ def feistel(value: int, size: int, key: bytes, tweak: bytes, rounds: int = 10) -
             return value
 
 
-def pseudonym(value: str, key: bytes, kind: str) -> str:
-    """value with its digits permuted as one number and its letters as another, in its own format: signs stay, and so does what tells the country of a telephone number. Equal digits and letters in equal formats give equal pseudonyms."""
+#: Calling codes of one digit, and first digits of those of two that have only them; all others have three.
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: The control letters of Spanish numbers, by the number's rest by 23.
+_CONTROL = "TRWAGMYFPDXBNJZSQVHLCKE"
+_SPANISH = re.compile(r"([XYZ]?)[- ]?(\d{7,8})[- ]?([A-Z])$")
+_DATED = re.compile(r"(\d{2})(\d{2})(\d{2})([-+])(\d{4})$")
+_DAYS = 36_525  # of a century, in which a year of two digits repeats
+
+
+def country_code(digits: str) -> int:
+    """How many of the digits of an international number are its calling code."""
+    return 1 if digits[:1] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
+def _refill(value: str, digits: str, letters: str = "") -> str:
+    """value with its digits and letters replaced in order; case and other characters stay."""
+    new_digits, new_letters = iter(digits), iter(letters)
+    return "".join(next(new_digits) if c.isascii() and c.isdigit() else (lambda x: x if c.isupper() else x.lower())(next(new_letters)) if letters and c.isascii() and c.isalpha() else c for c in value)
+
+
+def _permuted(digits: str, key: bytes, tweak: bytes) -> str:
+    return str(feistel(int(digits), 10 ** len(digits), key, tweak)).zfill(len(digits)) if digits else ""
+
+
+def _day(year: int, month: int, day: int) -> int | None:
+    """The day of the century of a date of two-digit year, if there is such a day."""
+    try:
+        return (datetime.date(2000 + year, month, day) - datetime.date(2000, 1, 1)).days
+    except ValueError:
+        return None
+
+
+def phone_pseudonym(value: str, key: bytes) -> str:
+    """A telephone number whose digits behind the calling code are permuted. Only digits count, so a number has the same pseudonym however it's written; a trunk zero in brackets stays."""
+    plain = value.replace("(0)", "\ue000")
+    digits = "".join(c for c in plain if c.isascii() and c.isdigit())
     keep = 0
-    if kind == "phone" and (m := re.match(r"\+\d{1,3}|00\d{2}", value)):
-        keep = m.end()
-    head, body = value[:keep], value[keep:]
-    digits = [i for i, c in enumerate(body) if c.isascii() and c.isdigit()]
-    letters = [i for i, c in enumerate(body) if c.isascii() and c.isalpha()]
-    shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", body)).encode() + kind.encode()
-    out = list(body)
-    if digits:
-        n = int("".join(body[i] for i in digits))
-        for i, c in zip(digits, str(feistel(n, 10 ** len(digits), key, shape)).zfill(len(digits)), strict=True):
-            out[i] = c
+    if plain.lstrip().startswith("+"):
+        keep = country_code(digits)
+    elif digits.startswith("00"):
+        keep = 2 + country_code(digits[2:])
+    head = digits[:keep].removeprefix("00")
+    return _refill(plain, digits[:keep] + _permuted(digits[keep:], key, b"phone" + head.encode())).replace("\ue000", "(0)")
+
+
+def id_pseudonym(value: str, key: bytes) -> str | None:
+    """A personal number permuted within its format, if its form is one whose validity can be told and it's valid: with a right control letter (which the pseudonym has too), with a date that exists (a date again), or of digits alone. None if it isn't: its format says nothing then."""
+    if m := _SPANISH.fullmatch(value):
+        lead, body, letter = m.groups()
+        number = str("XYZ".index(lead)) + body if lead else body
+        if len(number) != 8 or _CONTROL[int(number) % 23] != letter:
+            return None
+        new = _permuted(body, key, b"es" + lead.encode())
+        control = _CONTROL[int((str("XYZ".index(lead)) if lead else "") + new) % 23]
+        return _refill(value, new, lead + control)
+    if m := _DATED.fullmatch(value):
+        a, b, c, _, serial = m.groups()
+        # year first or day first
+        if (day := _day(int(a), int(b), int(c))) is not None:
+            d = datetime.date(2000, 1, 1) + datetime.timedelta(feistel(day, _DAYS, key, b"ymd"))
+            new = f"{d.year % 100:02}{d.month:02}{d.day:02}"
+        elif (day := _day(int(c), int(b), int(a))) is not None:
+            d = datetime.date(2000, 1, 1) + datetime.timedelta(feistel(day, _DAYS, key, b"dmy"))
+            new = f"{d.day:02}{d.month:02}{d.year % 100:02}"
+        else:
+            return None
+        return _refill(value, new + _permuted(serial, key, b"serial"))
+    digits = "".join(c for c in value if c.isascii() and c.isdigit())
+    if any(c.isalpha() for c in value) or not digits:
+        return None
+    return _refill(value, _permuted(digits, key, b"id" + str(len(digits)).encode()))
+
+
+def lettered_pseudonym(value: str, key: bytes) -> str:
+    """A number with letters whose validity can't be told: digits and letters permuted each, as one number."""
+    digits = "".join(c for c in value if c.isascii() and c.isdigit())
+    letters = "".join(c.upper() for c in value if c.isascii() and c.isalpha())
+    shape = "".join("9" if c.isdigit() else "A" for c in value if c.isascii() and c.isalnum()).encode()
+    new = ""
     if letters:
         n = 0
-        for i in letters:
-            n = n * 26 + ord(body[i].upper()) - 65
-        n = feistel(n, 26 ** len(letters), key, shape + b"a")
-        for i in reversed(letters):
+        for c in letters:
+            n = n * 26 + ord(c) - 65
+        n = feistel(n, 26 ** len(letters), key, b"letters" + shape)
+        for _ in letters:
             n, c = divmod(n, 26)
-            out[i] = chr(65 + c) if body[i].isupper() else chr(97 + c)
-    return head + "".join(out)
+            new = chr(65 + c) + new
+    return _refill(value, _permuted(digits, key, b"digits" + shape), new)
+
+
+def pseudonym(value: str, key: bytes, kind: str) -> str:
+    """value as a keyed permutation inside its own format: equal values give equal pseudonyms, whatever signs part their digits."""
+    if kind == "phone":
+        return phone_pseudonym(value, key)
+    return id_pseudonym(value, key) or lettered_pseudonym(value, key)
+
+
+def _said(value: str, kind: str) -> str:
+    """What of a value without a format counts: not case and space, for names not the order of the parts, for addresses of mail not how they're spelled out."""
+    value = " ".join(value.casefold().split())
+    if kind == "name":
+        return " ".join(sorted(value.replace(",", " ").split()))
+    if kind == "email":
+        value = re.sub(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+", "@", value)
+        return re.sub(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+", ".", value)
+    return value
 
 
 def tag(value: str, key: bytes, kind: str) -> str:
-    """A keyed tag of a value that has no format, of eight hexadecimal digits; case and space don't count."""
-    return hmac.new(key, kind.encode() + b"\0" + " ".join(value.casefold().split()).encode(), hashlib.sha256).hexdigest()[:8]
+    """A keyed tag of a value that has no format, of 24 hexadecimal digits: among ten billion values two alike are less likely than one in a billion."""
+    return hmac.new(key, kind.encode() + b"\0" + _said(value, kind).encode(), hashlib.sha256).hexdigest()[:24]
 
 
-def replace(text: str, cases: list[tuple[int, int, str]], key: bytes) -> str:
-    """text with each case as [KIND pseudonym]; everything else stays."""
-    out, at = [], 0
+def replace(text: str, cases: list[tuple[int, int, str]], key: bytes) -> tuple[str, list[str]]:
+    """text with each case as [KIND pseudonym], and the pseudonyms; everything else stays."""
+    out, made, at = [], [], 0
     for start, end, kind in cases:
         value = text[start:end]
-        out += [text[at:start], f"[{kind.upper()} {pseudonym(value, key, kind) if kind in ('phone', 'id_number') else tag(value, key, kind)}]"]
+        made.append(pseudonym(value, key, kind) if kind in ("phone", "id_number") else tag(value, key, kind))
+        out += [text[at:start], f"[{kind.upper()} {made[-1]}]"]
         at = end
-    return "".join([*out, text[at:]])
+    return "".join([*out, text[at:]]), made
 
 
 _LATEST: list = []
@@ -534,28 +620,31 @@ def _lexicon(rows: list[tuple[str, str]]) -> Lexicon:
     return _LATEST[1]
 
 
-FOUND = "doc_id long, starts array<int>, kinds array<string>, clean string"
+FOUND = "doc_id long, starts array<int>, kinds array<string>, pseudonyms array<string>, clean string"
 
 
-def _search(sent, key: bytes | None):
+def _search(sent, key: bytes, with_text: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(sent.value)
         for batch in batches:
-            ids, starts, kinds, clean = [], [], [], []
+            ids, starts, kinds, made, clean = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cases = find(text, lexicon)
                 if cases:
+                    out, names = replace(text, cases, key)
                     ids.append(doc_id)
                     starts.append([c[0] + 1 for c in cases])
                     kinds.append([c[2] for c in cases])
-                    clean.append(replace(text, cases, key) if key is not None else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string())), pa.array(clean, pa.string())], names=["doc_id", "starts", "kinds", "clean"])
+                    made.append(names)
+                    clean.append(out if with_text else None)
+            types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, starts, kinds, made, clean), types, strict=True)], names=["doc_id", "starts", "kinds", "pseudonyms", "clean"])
 
     return search
 
 
-def personal_information(documents: DataFrame, lexicon: DataFrame, key: bytes | None = None) -> DataFrame:
-    """FOUND: of each document with personal information, where each case starts (from 1), its kind, and, if a key is given, the text with placeholders.
+def personal_information(documents: DataFrame, lexicon: DataFrame, key: bytes, with_text: bool = True) -> DataFrame:
+    """FOUND: of each document with personal information, where each case starts (from 1), its kind, its pseudonym under the key, and the text with placeholders (null without with_text).
 
     Null and blank texts have none; a null doc_id stays null; rows with a null token or kind in the lexicon are left out; repeated
     documents are searched each. Empty tables give an empty result, without a lexicon names are found by what stands around them.
@@ -566,10 +655,11 @@ def personal_information(documents: DataFrame, lexicon: DataFrame, key: bytes |
     if len(rows) > MAX_LEXICON:
         raise ValueError(f"the lexicon has more than {MAX_LEXICON} rows")
     docs = strip_clash(documents, {"doc_id": "doc_id", "text": "text"}).filter(F.length("text") > 0)
-    return docs.mapInArrow(_search(spark.sparkContext.broadcast(rows), key), FOUND)
+    return docs.mapInArrow(_search(spark.sparkContext.broadcast(rows), key, with_text), FOUND)
 
 
-def occurrences(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, kind, start_pos of each case."""
-    found = personal_information(documents, lexicon)
-    return found.select("doc_id", F.explode(F.arrays_zip("kinds", "starts")).alias("c")).select("doc_id", F.col("c.kinds").alias("kind"), F.col("c.starts").alias("start_pos")).distinct()
+def occurrences(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:
+    """doc_id, kind, start_pos, pseudonym of each case. Rows of equal kind and pseudonym are one value, in whatever documents and formats."""
+    found = personal_information(documents, lexicon, key, with_text=False)
+    case = F.explode(F.arrays_zip("kinds", "starts", "pseudonyms")).alias("c")
+    return found.select("doc_id", case).select("doc_id", F.col("c.kinds").alias("kind"), F.col("c.starts").alias("start_pos"), F.col("c.pseudonyms").alias("pseudonym")).distinct()

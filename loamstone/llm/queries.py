@@ -84,11 +84,18 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"))
+    """What the replacement under a key replaces. The key of a query is no secret; a job is given its own."""
+    return personal.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), b"query").select("doc_id", "kind", "start_pos")
+
+
+def p10_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that several documents hold, by their pseudonyms."""
+    found = personal.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), b"query")
+    linked = found.groupBy("kind", "pseudonym").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("cases"))
+    return linked.filter("documents > 1")
 
 
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of a query is no secret; a job is given its own."""
     found = personal.personal_information(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), key=b"query")
     return found.select("doc_id", "kinds", "clean")
 
@@ -106,7 +113,7 @@ s AS (SELECT conversation_id, string_agg(r[1], '' ORDER BY created_at, CASE r WH
 good AS (SELECT conversation_id FROM s WHERE regexp_full_match(letters, '(ua)+')
          AND conversation_id NOT IN (SELECT conversation_id FROM b) AND conversation_id IN (SELECT id FROM conversations))"""
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p2_exports": p2_exports, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_repeated": p4_repeated, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_turns": p2_turns, "p2_exports": p2_exports, "p3_found": p3_found, "p4_found": p4_found, "p4_clean": p4_clean, "p4_repeated": p4_repeated, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_linked": p10_linked, "p10_redacted": p10_redacted}
 _P2_WIDTH = 12 * 3_600_000_000
 ORACLE = {
     "p7_found": _SQL_P7,

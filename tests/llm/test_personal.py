@@ -52,21 +52,49 @@ def test_pseudonyms_keep_the_format(value):
 
 def test_replacement_links_equal_values():
     text = "Call +1-393-555-0129 (Noemi Umbrecht). Reviewed-by: NOEMI UMBRECHT. Again +1-393-555-0129, x@y.test"
-    out = P.replace(text, P.find(text, LEXICON), b"k")
+    out, made = P.replace(text, P.find(text, LEXICON), b"k")
     assert out.count("[PHONE +1-") == 2 and "393-555-0129" not in out and "Umbrecht" not in out
-    parts = out.split("[NAME ")
-    assert parts[1][:8] == parts[2][:8]
-    assert P.replace(text, P.find(text, LEXICON), b"other") != out
+    assert made[0] == made[3] and made[1] == made[2]
+    assert P.replace(text, P.find(text, LEXICON), b"other")[0] != out
+
+
+def test_equal_values_in_other_formats_are_linked():
+    digits = lambda s: "".join(c for c in s.replace("(0)", "") if c.isdigit()).removeprefix("00")
+    for group in (("+1 212-555-0100", "+12125550100", "+1 (212) 555-0100", "001 212 555 0100"), ("+44 (0)20 7946 0018", "+44 20 7946 0018"), ("+351 211 555 017", "+351211555017")):
+        made = {digits(P.pseudonym(v, b"k", "phone")) for v in group}
+        assert len(made) == 1 and made != {digits(group[0])}
+        assert made.pop().startswith(digits(group[0])[: P.country_code(digits(group[0]))])
+    assert P.tag("Umbrecht, Noemi", b"k", "name") == P.tag("NOEMI\nUmbrecht", b"k", "name")
+    assert P.tag("noemi.x [ at ] velvane DOT test", b"k", "email") == P.tag("Noemi.X@velvane.test", b"k", "email")
+    assert len(P.tag("x", b"k", "name")) >= 16
+
+
+def test_control_letters_and_dates():
+    letters = "TRWAGMYFPDXBNJZSQVHLCKE"
+    for n in (12345678, 87654321, 4):
+        right = f"{n:08}-{letters[n % 23]}"
+        made = P.id_pseudonym(right, b"k")
+        assert made != right and made[8] == "-" and letters[int(made[:8]) % 23] == made[9]
+        assert P.id_pseudonym(f"{n:08}{letters[(n + 1) % 23]}", b"k") is None
+    assert P.id_pseudonym("X1234567L", b"k")[0] == "X" and P.id_pseudonym("X1234567A", b"k") is None
+    import datetime
+
+    for value in ("900229-1234", "850101+0001", "991231-9999"):
+        made = P.id_pseudonym(value, b"k")
+        assert (made is None) == (value == "900229-1234")
+        if made:
+            datetime.datetime.strptime(made[:6], "%y%m%d")
+    assert P.id_pseudonym("123-45-6789", b"k") and P.id_pseudonym("AB123456C", b"k") is None
 
 
 def test_frame(spark):
     rows = [(1, "Thanks, Zoë\nx@y.test"), (2, None), (3, ""), (None, "x@y.test"), (4, "plain " * 200_000 + "x@y.test")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS kind", "1 AS starts", "'t' AS token")
     lexicon = spark.createDataFrame([("Zoë", "given", 1), ("Zoë", "given", 1), (None, "given", 1), ("X", None, 1)], "token string, kind string, freq int")
-    got = sorted(((r.doc_id, r.kind, r.start_pos) for r in P.occurrences(docs.unionAll(docs), lexicon).collect()), key=repr)
+    got = sorted(((r.doc_id, r.kind, r.start_pos) for r in P.occurrences(docs.unionAll(docs), lexicon, b'k').collect()), key=repr)
     assert got == sorted([(1, "name", 9), (1, "email", 13), (None, "email", 1), (4, "email", 1_200_001)], key=repr)
-    assert P.occurrences(docs.limit(0), lexicon).count() == 0
-    assert P.occurrences(docs.filter("doc_id = 1"), lexicon.limit(0)).count() == 2
+    assert P.occurrences(docs.limit(0), lexicon, b'k').count() == 0
+    assert P.occurrences(docs.filter("doc_id = 1"), lexicon.limit(0), b'k').count() == 2
     clean = {r.doc_id: r.clean for r in P.personal_information(docs, lexicon, key=b"k").collect()}
     assert clean[1].startswith("Thanks, [NAME ") and "[EMAIL " in clean[1]
 
