@@ -20,15 +20,15 @@ from loamstone.session import strip_clash
 DETECTORS = {
     "private_key": r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----",
     "aws_access_key": r"(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])",
-    "github_token": r"(?<![A-Za-z0-9])(?P<value>(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{40,255})(?![A-Za-z0-9])",
-    "gitlab_token": r"(?<![A-Za-z0-9])(?P<value>glpat-[A-Za-z0-9_-]{18,64})(?![A-Za-z0-9_-])",
+    "github_token": r"(?<![A-Za-z0-9])(?P<value>(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,})(?![A-Za-z0-9])",
+    "gitlab_token": r"(?<![A-Za-z0-9])(?P<value>glpat-[A-Za-z0-9_-]{18,})(?![A-Za-z0-9_-])",
     "slack_token": r"(?<![A-Za-z0-9])(?P<value>xox[abeoprs]-[A-Za-z0-9-]{16,})",
-    "payment_key": r"(?<![A-Za-z0-9])(?P<value>(?:sk|rk|pk)_live_[A-Za-z0-9]{16,128})(?![A-Za-z0-9])",
-    "registry_token": r"(?<![A-Za-z0-9])(?P<value>npm_[A-Za-z0-9]{30,64}|pypi-[A-Za-z0-9_-]{40,255}|dckr_pat_[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])",
-    "cloud_key": r"(?<![A-Za-z0-9])(?P<value>AIza[A-Za-z0-9_-]{35}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}|hf_[A-Za-z0-9]{30,40})(?![A-Za-z0-9])",
-    "version_token": r"(?<![A-Za-z0-9.])(?P<value>crv1\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{4,64})(?![A-Za-z0-9])",
+    "payment_key": r"(?<![A-Za-z0-9])(?P<value>(?:sk|rk|pk)_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])",
+    "registry_token": r"(?<![A-Za-z0-9])(?P<value>npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{40,}|dckr_pat_[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
+    "cloud_key": r"(?<![A-Za-z0-9])(?P<value>AIza[A-Za-z0-9_-]{35}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{30,40})(?![A-Za-z0-9])",
+    "version_token": r"(?<![A-Za-z0-9.])(?P<value>[a-z]{2,4}v[1-4]\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{4,})(?![A-Za-z0-9])",
     "jwt": r"(?<![A-Za-z0-9])(?P<value>eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{8,})",
-    "url_password": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,64}:(?P<value>[^\s/@\"'`<>]{3,128})@[\w.\[-]",
+    "url_password": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]*:(?P<value>[^\s/@\"'`<>]{3,})@[\w.\[-]",
     "url_parameter": r"[?&](?:api[_-]?key|access[_-]?token|auth[_-]?token|token|sig|signature|client[_-]?secret|secret|password|passwd|pwd|key)=(?P<value>[^\s&\"'`<>#]{8,})",
     "authorization": r"(?i:authorization)[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?i:bearer|token|basic|apikey)\s+(?P<value>[A-Za-z0-9+/_.~=-]{8,})",
     "key_header": r"(?i:x-(?:api-key|auth-token|access-token|api-token|secret-key|client-secret))[\"']?\]?\s*[:=,]\s*(?:[frb]{0,2}[\"'`])?(?P<value>[A-Za-z0-9+/_.~=-]{8,})",
@@ -62,7 +62,7 @@ NAME_BEFORE = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`]?\s*\]?\s*\)?\s*(?::=|\|\|=
 BARE = re.compile(r"(?:^|[\s{(,])(?:export\s+|set\s+|-{1,2})?([A-Za-z_][\w.-]*)\s*(?:=|:\s)\s*([^\s\"'`,;#(){}\[\]<>$][^\s\"'`,;<>]*)")
 LOGIN_CALL = re.compile(r"(?i)\blog_?in\s*\([^()]*,\s*$")
 #: A comment that tells a value: "password for the demo account is ...", "old token, rotate later: ...", "remove api key ...", "db_password ...".
-TOLD = re.compile(r"(?i)(?:(?:passw(?:or)?d|passphrase|pwd|secret|api[ _-]?key|token)s?(?:\s+(?:for|of|on)\s+[\w .-]{1,40}?\s+(?:is|was)|\s*,\s*[\w ]{1,30}:|\s+(?:is|was|=)|\s*[:=])?|\b(?:remove|rotate|revoke|drop|delete)\s+(?:the\s+)?(?:passw(?:or)?d|secret|api[ _-]?key|token))\s+(?P<value>[^\s\"'`(),;<>]{8,128})\s*(?:\*/|-->)?\s*$")
+TOLD = re.compile(r"(?i)(?:(?:passw(?:or)?d|passphrase|pwd|secret|api[ _-]?key|token)s?(?:\s+(?:for|of|on)\s+[\w .-]{1,40}?\s+(?:is|was)|\s*,\s*[\w ]{1,30}:|\s+(?:is|was|=)|\s*[:=])?|\b(?:remove|rotate|revoke|drop|delete)\s+(?:the\s+)?(?:passw(?:or)?d|secret|api[ _-]?key|token))\s+(?P<value>[^\s\"'`(),;<>]{8,})\s*(?:\*/|-->)?\s*$")
 #: A value beside a name: a word in prose, which must look like a password by itself.
 PROSE_WORD = re.compile(r"[^\s\"'`(),;<>]+")
 

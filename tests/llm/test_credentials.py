@@ -101,3 +101,11 @@ def test_frame(spark):
 )
 def test_whole_values(text, path, values):
     assert [text[a:b] for a, b, _ in S.spans_of(text, path)] == values
+
+
+def test_values_of_any_length():
+    long = "aB3" * 600
+    for text in (f"ghp_{long}", f"github_pat_{long}", f"sk_live_{long}", f"db://user:{long}@host", f"npm_{long}", f"glpat-{long}", f"# token is {long}"):
+        spans = S.spans_of(text)
+        assert len(spans) == 1 and long in text[spans[0][0] : spans[0][1]]
+    assert [k for _, _, k in S.spans_of("x = 'abv2.kJ8sLq02mZpWt7Xc.9fQ2'")] == ["version_token"]
