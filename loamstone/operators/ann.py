@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.operators.topk import _matrix, rank_hits
+from loamstone.session import scratch
 
 #: The sample that centres are fitted on is at most so many vectors; the index itself holds all.
 SAMPLE = 20_000
@@ -51,22 +52,43 @@ def _assign(centres: np.ndarray, probes: int):
     return run
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None) -> DataFrame:
-    """qid, vec_id, dist, rank: the nearest of the vectors in the cells nearest to each query. Every vector is in one cell; a query looks into probes of them.
+#: Vectors of a cell that meet the queries in one task.
+PART = 50_000
+_SCHEMA = "id long, unit array<float>, cell int"
 
-    cells is by default the square root of the number of vectors, 16 at least and 4096 at most, probes a third of them up to 64. A cell that holds many
-    vectors is split by a salt, so it's no single group: queries meet each of its parts, and each part keeps k a query.
-    """
+
+def write_index(vectors: DataFrame, path: str, cells: int | None = None) -> None:
+    """Writes the index of all vectors to a folder: the centres, and the vectors by cell. cells is by default the square root of the number of vectors, 16 at least and 4096 at most."""
+    spark = vectors.sparkSession
     n = vectors.count()
-    cells = cells or int(min(4096, max(16, n**0.5)))
-    centres = fit_centres(vectors, cells)
-    if not centres.size:
-        return vectors.sparkSession.createDataFrame([], "qid long, vec_id long, dist double, rank int")
+    centres = fit_centres(vectors, cells or int(min(4096, max(16, n**0.5))))
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    indexed = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(_assign(centres, 1), _SCHEMA) if centres.size else spark.createDataFrame([], _SCHEMA)
+    indexed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+
+
+def search_index(queries: DataFrame, path: str, k: int = 10, probes: int | None = None, part: int = PART) -> DataFrame:
+    """qid, vec_id, dist, rank: the nearest of the vectors in the cells nearest to each query, from an index that write_index made. Only the cells that some query looks into are read.
+
+    probes is by default a third of the cells, up to 64. A cell's vectors are counted, and a large one parted by ids, so it's no
+    single group: queries meet each of its parts, and each part keeps k a query.
+    """
+    spark = queries.sparkSession
+    empty = spark.createDataFrame([], "qid long, vec_id long, dist double, rank int")
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # at most 4096, see write_index
+    if not rows:
+        return empty
+    centres = np.array([r.centre for r in rows])
     probes = probes or min(64, max(1, len(centres) // 3))
-    salts = max(1, int(4 * n // (len(centres) * 100_000)))
-    schema = "id long, unit array<float>, cell int"
-    indexed = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(_assign(centres, 1), schema).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    asked = queries.filter("qid IS NOT NULL").select("qid", "qvec").mapInArrow(_assign(centres, probes), schema).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = queries.filter("qid IS NOT NULL").select("qid", "qvec").mapInArrow(_assign(centres, probes), _SCHEMA)
+    wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # at most as many as there are centres
+    if not wanted:
+        return empty
+    held = spark.read.schema(_SCHEMA).parquet(f"{path}/cells").filter(F.col("cell").isin(wanted))
+    sizes = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes)  # a row for each centre at most
+    indexed = held.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    asked = asked.join(sizes, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -84,3 +106,10 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | N
 
     hits = indexed.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(search, "qid long, vec_id long, dist double")
     return rank_hits(hits, k)
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None) -> DataFrame:
+    """search_index over an index written for this call. Many searches of the same vectors write one and keep it."""
+    path = scratch(vectors.sparkSession)
+    write_index(vectors, path, cells)
+    return search_index(queries, path, k, probes)

@@ -24,7 +24,7 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """A deterministic local stand-in for an embedding service: hashed words, signed, of unit length. It has no model's quality."""
+    """A deterministic local stand-in for an embedding service: hashed words, signed, of unit length, as SQL can make them too. It has no model's quality."""
 
     def __init__(self, dimensions: int = SETTINGS.embedding_dimensions) -> None:
         self.dimensions = dimensions
@@ -34,8 +34,8 @@ class HashEmbedder:
         for text in texts:
             v = np.zeros(self.dimensions)
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-                v[h % self.dimensions] += 1 if h >> 63 else -1
+                h = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).digest()
+                v[int.from_bytes(h[:4], "big") % self.dimensions] += 1 if h[4] >> 7 else -1
             n = float(np.sqrt((v * v).sum()))
             out.append((v / n if n else v).tolist())
         return out

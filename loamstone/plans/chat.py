@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import text
-from loamstone.operators import agent, context, history
+from loamstone.operators import agent, context, embedding, history, retrieval
 from loamstone.operators.topk import relevance, topk
 from loamstone.plans import sqltext as q
+from loamstone.plans.ingest import _TEXT
 from loamstone.session import table
 from loamstone.streaming import state
 
@@ -17,11 +18,28 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").distinct()
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of a question to each repository: its first ten chunks by id, with made-up distances."""
+#: Coordinates of the stand-in for an embedding service in the queries here.
+_DIMENSIONS = 64
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of conversations as questions to their repositories."""
+    c = table(spark, d, "conversations").distinct().filter("repo_id IS NOT NULL AND id IS NOT NULL")
+    return c.select(F.col("id").alias("qid"), "repo_id", F.col("title").alias("question"))
+
+
+def _hits(spark: SparkSession, d: str, questions: DataFrame | None = None) -> DataFrame:
+    """The ten nearest chunks of each question in its repository: questions and chunks embedded, searched, ranked and joined."""
     c = table(spark, d, "chunks").distinct()
-    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy("chunk_id"))).filter("rank <= 10")
-    return ranked.select(F.col("repo_id").alias("qid"), "rank", "chunk_id", "file_path", "language", "start_line", "end_line", "chunk_type", "name", "content", relevance(F.col("rank") / 16).alias("relevance_score"))
+    embedder = embedding.HashEmbedder(_DIMENSIONS)
+    body = text.embedding_text(*(F.col(x) for x in ("file_path", "language", "start_line", "end_line", "name", "chunk_type", "content")))
+    vectors = embedding.embed(c.select("repo_id", "chunk_id", body.alias("text")).filter("text IS NOT NULL"), embedder)
+    return retrieval.retrieve(_questions(spark, d) if questions is None else questions, c, vectors, embedder).drop("repo_id")
+
+
+def retrieved_chunks(spark: SparkSession, d: str) -> DataFrame:
+    h = _hits(spark, d)
+    return h.select("qid", "rank", "chunk_id", "file_path", (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def token_budget_context(spark: SparkSession, d: str) -> DataFrame:
@@ -146,10 +164,12 @@ def plan_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agent_trace(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: answers come from a stand-in."""
+    """Runs of the questions in conversations, on what is retrieved for them. Rows only: answers come from a stand-in."""
     runs = _runs(spark, d)
-    hits = runs.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("rank")).select("run_id", "rank", F.concat(F.lit("f"), "rank").alias("file_path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit(0.5).alias("relevance_score"))
-    return agent.run_agents(runs, hits)
+    of = _messages(spark, d).select(F.col("id").alias("run_id"), "conversation_id")
+    repos = table(spark, d, "conversations").groupBy(F.col("id").alias("conversation_id")).agg(F.min("repo_id").alias("repo_id"))
+    asked = runs.join(of, "run_id").join(repos, "conversation_id").select(F.col("run_id").alias("qid"), "repo_id", F.col("user_query").alias("question"))
+    return agent.run_agents(runs, _hits(spark, d, asked).withColumnRenamed("qid", "run_id"))
 
 
 def agent_events(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +220,13 @@ def executor_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _M = "m AS (SELECT DISTINCT * FROM messages)"
-_HITS = """c AS (SELECT DISTINCT * FROM chunks), hr AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY chunk_id) AS rank FROM c),
-h AS (SELECT repo_id AS qid, *, greatest(0.0, 1 - rank / 16) AS rel FROM hr WHERE rank <= 10)"""
+_HITS = f"""c AS (SELECT DISTINCT * FROM chunks), ask AS (SELECT DISTINCT id AS qid, repo_id, title FROM conversations WHERE repo_id IS NOT NULL AND id IS NOT NULL AND length(trim(title, ' ')) > 0),
+    cv AS ({q.vectors(f"SELECT repo_id, chunk_id, {_TEXT} AS t FROM c", "repo_id, chunk_id", _DIMENSIONS)}), qv AS ({q.vectors(f"SELECT repo_id, qid, '{text.QUERY_PREFIX}' || title AS t FROM ask", "repo_id, qid", _DIMENSIONS)}),
+    cn AS (SELECT repo_id, chunk_id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS n FROM cv GROUP BY ALL), qn AS (SELECT repo_id, qid, sqrt(sum(CAST(x AS DOUBLE) * x)) AS n FROM qv GROUP BY ALL),
+    met AS (SELECT qv.qid, cv.chunk_id, sum(CAST(qv.x AS DOUBLE) * cv.x) AS s FROM qv JOIN cv ON qv.repo_id = cv.repo_id AND qv.i = cv.i GROUP BY ALL),
+    near AS (SELECT qn.qid, cn.chunk_id, round(1 - coalesce(s, 0.0) / (qn.n * cn.n), 9) AS dist FROM qn JOIN cn USING (repo_id) LEFT JOIN met ON met.qid = qn.qid AND met.chunk_id = cn.chunk_id),
+    hr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rank FROM near),
+    h AS (SELECT qid, rank, dist, c.*, greatest(0.0, 1 - dist) AS rel FROM hr JOIN c USING (chunk_id) WHERE rank <= 10)"""
 _BLOCK = "'### ' || file_path || ' (L' || start_line || '–L' || end_line || ') [' || chunk_type || ']' || CASE WHEN coalesce(name, '') <> '' THEN ' — ' || name ELSE '' END || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10) || 'Relevance: ' || format('{:.4f}', rel) || chr(10) || chr(10)"
 _RESULT = "'### Result ' || rank || ': ' || file_path || CASE WHEN coalesce(name, '') <> '' THEN ' (' || name || ')' ELSE '' END || chr(10) || 'Lines ' || start_line || '–' || end_line || ' | ' || chunk_type || ' | Relevance: ' || format('{:.2f}', rel * 100) || '%' || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10)"
 _REPLY = """SELECT id AS run_id, content, length(content) % 3 AS k, length(content) AS n FROM m WHERE role = 'user' AND length(trim(content, ' ')) > 0 AND id IS NOT NULL"""
@@ -224,12 +249,13 @@ _HTML = _html()
 QUERIES = {
     f.__name__: f
     for f in (
-        token_budget_context, context_blocks, search_results, source_lists, prompt_assembly, ordered_transcript, last_n_history, list_repositories, list_conversations, history_page, page_envelope,
+        token_budget_context, retrieved_chunks, context_blocks, search_results, source_lists, prompt_assembly, ordered_transcript, last_n_history, list_repositories, list_conversations, history_page, page_envelope,
         owner_filter, ready_repositories, conversation_counts, cascade_delete, titles, fact_set, facts_text, role_mapping, tool_gate, message_sources, plan_parse, agent_trace, agent_events, chat_events, step_log, query_texts, best_scores, answer_html, memory_bundles, top_files, executor_prompts,
     )
 }
 ORACLE = {
     "token_budget_context": f"WITH {_M}, r AS (SELECT conversation_id, id, sum(coalesce(length(content) // 4, 0)) OVER (PARTITION BY conversation_id ORDER BY created_at NULLS FIRST, id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS used FROM m WHERE conversation_id IS NOT NULL) SELECT conversation_id, id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 200",
+    "retrieved_chunks": f"WITH {_HITS} SELECT qid, rank, chunk_id, file_path, round(dist, 6) + 0.0 AS dist FROM h",
     "context_blocks": f"WITH {_HITS}, b AS (SELECT qid, rank, {_BLOCK} AS block FROM h), r AS (SELECT *, sum(length(block) // 4) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM b), t AS (SELECT qid, chr(10) || chr(10) || '## Retrieved Code Context' || chr(10) || chr(10) || string_agg(block, '' ORDER BY rank) AS t FROM r WHERE used <= 1500 GROUP BY qid) SELECT qid, length(t) AS n, substr(sha256(t), 1, 16) AS digest FROM t",
     "search_results": f"WITH {_HITS} SELECT qid, rank, substr(sha256({_RESULT}), 1, 16) AS digest FROM h WHERE rank <= 8",
     "source_lists": f"WITH {_HITS} SELECT qid, CAST(count(*) AS INTEGER) AS n, arg_min(file_path, rank) AS first_path, arg_min(file_path, rank) AS json_path FROM h WHERE rank <= 5 GROUP BY qid",

@@ -124,11 +124,12 @@ def batch_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_with_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: the vectors come from a stand-in that SQL has not."""
+    """Vectors of the stand-in, a sum over each with its coordinates' numbers; those of the cache are zeros here."""
     chunks = table(spark, d, "chunks").distinct()
     cache = embedding.with_hash(chunks).filter(F.substring("content_hash", 1, 1) < "8").select("repo_id", "content_hash", F.array_repeat(F.lit(0.0).cast("float"), 16).alias("embedding"))
     done, _ = embedding.embed_chunks(chunks, cache, embedding.HashEmbedder(16))
-    return done.select("chunk_id", "content_hash", F.size("embedding").alias("dimensions"))
+    told = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0.0), lambda s, i: s + i * F.element_at("embedding", i).cast("double"))
+    return done.select("chunk_id", "content_hash", F.size("embedding").alias("dimensions"), (F.round(told, 4) + F.lit(0.0)).alias("told"))
 
 
 def progress_percent(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +207,10 @@ ORACLE = {
     "structural_chunks_js": _JS,
     "chunk_dispatch": _DISPATCH,
     "chunk_ids": "SELECT chunk_id, m AS made, chunk_id = m AS same FROM (SELECT DISTINCT *, substr(sha256(repo_id || ':' || file_path || ':' || start_line), 1, 16) AS m FROM chunks)",
+    "embed_with_cache": f"""WITH {_HASHED}, v AS ({q.vectors(f"SELECT DISTINCT content_hash, {_TEXT} AS t FROM h WHERE NOT content_hash[1] < '8'", "content_hash", 16)}),
+        s AS (SELECT content_hash, sum((i + 1) * CAST(x AS DOUBLE)) AS told FROM v GROUP BY 1)
+        SELECT chunk_id, content_hash, 16 AS dimensions, round(coalesce(told, 0.0), 4) + 0.0 AS told FROM h LEFT JOIN s USING (content_hash) WHERE content_hash IS NOT NULL
+        UNION ALL SELECT chunk_id, content_hash, NULL, NULL FROM h WHERE content_hash IS NULL""",
     "content_hash": f"WITH {_HASHED} SELECT chunk_id, content_hash, length({_TEXT}) AS n FROM h",
     "cache_hit_miss": f"{_CACHED} SELECT {_HIT} AS hit, count(*) AS n FROM h GROUP BY 1",
     "cache_hit_rate": f"{_CACHED} SELECT count(*) AS total, count(*) FILTER ({_HIT}) AS hits, round(100.0 * count(*) FILTER ({_HIT}) / count(*), 4) AS percent FROM h",

@@ -35,3 +35,10 @@ def indent(x: str) -> str:
 
 def line_count(x: str) -> str:
     return f"(length({x}) - length(replace({x}, chr(10), '')) + 1)"
+
+
+def vectors(texts: str, keys: str, dimensions: int) -> str:
+    """The sparse vectors of a hashing embedder: keys, i, x (float) of a query with keys and t, one row for each coordinate that isn't zero."""
+    return rf"""SELECT {keys}, i, CAST(x / sqrt(sum(x * x) OVER (PARTITION BY {keys})) AS FLOAT) AS x FROM (
+        SELECT {keys}, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % {dimensions} AS i, CAST(sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x
+        FROM (SELECT {keys}, md5(w) AS h FROM (SELECT {keys}, unnest(regexp_split_to_array(lower(t), '{_SPACE}+')) AS w FROM ({texts})) WHERE w <> '') GROUP BY ALL) WHERE x <> 0"""

@@ -45,8 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df once into the shared folder and reads it back: cuts the lineage and lets several consumers share one computation; lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch(spark)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -54,6 +53,13 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name in the shared folder, which drop_materialized deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 _WRITTEN: list[str] = []
 
 
