@@ -53,6 +53,10 @@ def words_of(text: str, known: dict[str, int] | None = None) -> list[str]:
     return out
 
 
+#: Up to so many words of items in all, counting them takes less time than looking for items that may have enough.
+_FEW = 30_000
+
+
 class SuffixAutomaton:
     """All runs of words of all items, in flat arrays: most states go on by one word only, and only the others have a table.
 
@@ -127,6 +131,8 @@ class SuffixAutomaton:
         self.rare_items = self.bag_item[rare][by_word]
         self.rare_bounds = np.searchsorted(self.bag_word[rare][by_word], np.arange(width + 1))
         self.counts = np.zeros(width, dtype=np.int64)
+        self.filled = np.flatnonzero(self.sizes)
+        self.filled_bounds, self.enough = self.bag_bounds[self.filled], SHARE * self.sizes[self.filled]
 
     def _next(self, state: int, symbol: int) -> int:
         if self.word[state] == symbol:
@@ -235,7 +241,12 @@ class SuffixAutomaton:
         return found
 
     def _covered(self, symbols: np.ndarray) -> np.ndarray:
-        """The items of whose words the text has SHARE, wherever they stand."""
+        """The items of whose words the text has SHARE, wherever they stand: all are counted where they're few, else those with one of their rarest words in the text."""
+        if len(self.bag_word) <= _FEW:
+            if not len(self.filled):
+                return self.filled
+            held = np.minimum(np.bincount(symbols[symbols >= 0], minlength=len(self.counts))[self.bag_word], self.bag_n)
+            return self.filled[np.add.reduceat(held, self.filled_bounds) >= self.enough]
         known, n = np.unique(symbols[symbols >= 0], return_counts=True)
         if not len(known):
             return known

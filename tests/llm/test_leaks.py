@@ -72,7 +72,9 @@ def in_order(item, words):
     return row[-1]
 
 
-def test_altered_passages_against_all_windows():
+@pytest.mark.parametrize("few", [0, 30_000])
+def test_altered_passages_against_all_windows(few, monkeypatch):
+    monkeypatch.setattr(L, "_FEW", few)
     rng = random.Random(11)
     item = [rng.choice(VOCAB) for _ in range(24)]
     a = L.SuffixAutomaton([(1, " ".join(item)), (2, " ".join(rng.choice(VOCAB) for _ in range(24)))])
