@@ -96,3 +96,38 @@ def test_repeats_of_pages(spark):
     got = {r.page_id: (r.covered > 0, r.unique.strip()) for r in B.without_repeats(df, "host", "id", "text").collect()}
     assert got == {"1": (True, "Alpha beta."), "2": (True, "Gamma."), "3": (False, foot), "4": (False, foot)}
     assert B.without_repeats(df.limit(0), "host", "id", "text").count() == 0
+
+
+def test_repeats_of_a_host_don_t_depend_on_its_parts(spark):
+    import numpy as np
+
+    from loamstone.llm import boilerplate as B
+
+    rng = np.random.default_rng(5)
+    texts = [(h, f"{h}{i}", " ".join(str(x) for x in rng.integers(0, 4, rng.integers(1, 30)))) for h in ("a", "b", None) for i in range(25)]
+    texts += [("a", "equal", texts[0][2]), (None, None, texts[60][2]), ("c", "alone", texts[0][2])]
+    want = {}
+    for h, i, text in texts:
+        words = text.split()
+        others = {tuple(w[s : s + 4]) for g, j, t in texts if g == h and j != i for w in [t.split()] for s in range(len(w) - 3)}
+        want[i] = sum(any(tuple(words[s : s + 4]) in others for s in range(max(0, k - 3), min(k, len(words) - 4) + 1)) for k in range(len(words)))
+    df = spark.createDataFrame(texts, "host string, id string, text string")
+    rows = [{(r.page_id, r.covered, r.unique) for r in B.without_repeats(df, "host", "id", "text", 4, n).collect()} for n in (20_000_000, 600, 1)]
+    assert rows[0] == rows[1] == rows[2]
+    assert {i: n for i, n, _ in rows[0]} == want and 0 < sum(want.values()) < sum(len(t.split()) for _, _, t in texts)
+
+
+def test_fingerprints_tell_runs_of_words_in_any_part():
+    import numpy as np
+
+    from loamstone.llm import boilerplate as B
+
+    rng = np.random.default_rng(6)
+    pages = [[str(x) for x in rng.integers(0, 3, 400)] for _ in range(3)]
+    one, other = B.run_prints(pages[:1], 4), B.run_prints([*pages[1:], ["x"], []], 4)
+    runs = [{tuple(p[i : i + 4]) for p in some for i in range(len(p) - 3)} for some in (pages[:1], pages[1:])]
+    assert [len(one), len(other)] == [len(r) for r in runs]
+    assert B._among(one, other).sum() == len(runs[0] & runs[1])
+    same = np.array([[1, 5], [1, 7], [2, 0]])
+    assert B._among(np.array([[1, 7], [1, 6], [2, 0], [3, 0]]), same).tolist() == [True, False, True, False]
+    assert len(B.run_prints([["x"], []], 4)) == 0
